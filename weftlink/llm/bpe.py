@@ -36,8 +36,9 @@ CACHE, LONG = 600_000, 100
 _ROWS = 4096
 _NONE, _FAR = 1 << 60, np.iinfo(np.int32).max
 
-#: Capitals that Unicode 16 gave a lower case, which Python's tables may not have yet.
-_NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+#: Capitals that Unicode 16 and 17 gave a lower case, which Python's tables may not have yet.
+_NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _NEWER = regex.compile("[" + "".join(map(chr, _NEWER_LOWER)) + "]")
 
 #: The file's own split pattern, with its white space spelt as the Unicode property.

@@ -4,9 +4,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, secret_scan
+from . import bpe, common, langid, mixing, quality, recompression, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +19,14 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "_mix.size", "_mix.source_size", "_mix.target", "_mix.copies", "_mix.taken")
 
 
+def op3_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_predictions(_documents(spark, sf_dir))
+
+
+def op4_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_documents(spark, sf_dir))
+
+
 def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.spans_digest(_documents(spark, sf_dir))
 
@@ -28,8 +35,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(_documents(spark, sf_dir))
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.deduplicated(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pareto_mix, op5_linked_secrets, op8_bpe)}
+    return {f.__name__: f for f in (op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op8_bpe, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:
