@@ -5,13 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, langid, mixing, quality, recompression, secret_scan
+from . import bpe, common, langid, mixing, near_dedup, quality, recompression, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     light = mixing.facts(_documents(spark, sf_dir)).select("doc_id", "source", "__size", "__h")
     light = common.materialise(light, "mix-facts")
@@ -40,7 +44,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op8_bpe, op10_recompression)}
+    return {f.__name__: f for f in (op1_weighted_minhash, op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op8_bpe, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:
