@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, langid, mixing, near_dedup, quality, recompression, secret_scan
+from . import bpe, common, langid, mixing, near_dedup, quality, recompression, secret_scan, spotsigs, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +35,24 @@ def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.spans_digest(_documents(spark, sf_dir))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(_documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.deduplicated(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_minhash, op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op8_bpe, op10_recompression)}
+    return {f.__name__: f for f in (op1_weighted_minhash, op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op6_spotsigs, op8_bpe, op9_toxicity, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:
