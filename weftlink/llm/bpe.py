@@ -310,10 +310,11 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def token_digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def token_digest(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, n_tokens, ids_sha256, decoded_sha256."""
     ship(docs.sparkSession)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = ["doc_id", *carry]
+    names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
@@ -325,7 +326,7 @@ def token_digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 end = np.cumsum(ids.count) * 4
                 id_sha = [sha(raw[e - 4 * n:e]).hexdigest() for e, n in zip(end.tolist(), ids.count.tolist())]
                 text_sha = [sha(t).hexdigest() for t in bpe.decode_all(ids)]
-                yield pa.RecordBatch.from_arrays([col(part, "doc_id"), pa.array(ids.count, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([*(col(part, c) for c in kept), pa.array(ids.count, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")

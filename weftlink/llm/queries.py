@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, langid, mixing, near_dedup, quality, recompression, secret_scan, spotsigs, toxicity
+from . import bpe, common, langid, mixing, near_dedup, pitman_yor, quality, recompression, secret_scan, spotsigs, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(_documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(_documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_minhash, op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op6_spotsigs, op8_bpe, op9_toxicity, op10_recompression)}
+    return {f.__name__: f for f in (op1_weighted_minhash, op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op6_spotsigs, op7_pitman_yor, op8_bpe, op9_toxicity, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:
