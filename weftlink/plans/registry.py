@@ -1,18 +1,463 @@
-"""Registered queries of the record-linkage operators."""
+"""Registered queries of the record-linkage operators, each with its SQL where SQL can express it."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalize as N
+from ..functions import similarity as S
+from ..operators import blocking, decision, features, graph, linkage, metrics, profile, splits, tfidf, validate, vectors
+from ..sources import sinks
+from . import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+F05 = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 OR tp = 0 THEN 0.0 ELSE 1.25 * (tp / CAST(n_pred AS DOUBLE)) * (tp / CAST(n_true AS DOUBLE)) / (0.25 * (tp / CAST(n_pred AS DOUBLE)) + tp / CAST(n_true AS DOUBLE)) END"
+WON = f"SELECT s1_id, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY score DESC, s1_id) AS r FROM ({V.SCORED}) x) y WHERE r = 1"
+
+
+def counts_sql(predicted: str, truth: str = V.LINKS, spine: str = V.CUSTOMERS) -> str:
+    return f"""SELECT s.s1_id, count(p.cand_id) FILTER (WHERE t.cand_id IS NOT NULL) AS tp, count(p.cand_id) AS n_pred, coalesce(max(n.n), 0) AS n_true
+  FROM ({spine}) s LEFT JOIN ({predicted}) p ON p.s1_id = s.s1_id LEFT JOIN ({truth}) t ON t.s1_id = p.s1_id AND t.cand_id = p.cand_id
+  LEFT JOIN (SELECT s1_id, count(*) AS n FROM ({truth}) q GROUP BY s1_id) n ON n.s1_id = s.s1_id GROUP BY s.s1_id"""
+
+
+# --- profiles --------------------------------------------------------------------------------
+@query(f"SELECT country, count(*) AS n FROM ({V.RECORDS}) r GROUP BY country")
+def value_counts_country(spark, sf):
+    return profile.value_counts(V.view(spark, sf, V.RECORDS), "country")
+
+
+@query(f"""SELECT count(*) AS n, count(*) - count(DISTINCT entity_id) AS duplicate_ids, count(*) FILTER (WHERE NOT starts_with(entity_id, 'S1-')) AS wrong_prefix,
+  count(*) FILTER (WHERE business_name = '') AS empty_business_name, count(*) FILTER (WHERE business_address = '') AS empty_business_address, count(*) FILTER (WHERE country = '') AS empty_country FROM ({V.RECORDS}) r""")
+def source_profile(spark, sf):
+    return profile.source_check(V.view(spark, sf, V.RECORDS), "S1-", ("business_name", "business_address", "country"))
+
+
+@query(f"SELECT round(avg(length(business_name)), 6) AS mean, quantile_cont(length(business_name), 0.5) AS median, min(length(business_name)) AS least, max(length(business_name)) AS most, round(avg(CAST(business_name = '' AS INT)), 6) AS empty_share FROM ({V.RECORDS}) r")
+def name_length_stats(spark, sf):
+    return profile.length_stats(V.view(spark, sf, V.RECORDS), "business_name")
+
+
+@query(f"SELECT CAST(least(coalesce(m, 0), 5) AS BIGINT) AS matches, count(*) AS n FROM ({V.SPINE}) s LEFT JOIN (SELECT s1_id, count(*) AS m FROM ({V.TRUTH}) t GROUP BY s1_id) t ON t.s1_id = s.s1_id GROUP BY 1")
+def match_count_hist(spark, sf):
+    return profile.match_histogram(V.view(spark, sf, V.TRUTH), V.view(spark, sf, V.SPINE))
+
+
+@query(f"""SELECT count(*) AS entities, count(*) FILTER (WHERE m IS NULL) AS singletons, CAST(sum(coalesce(m, 0)) AS BIGINT) AS links, max(coalesce(m, 0)) AS most, CAST(sum(coalesce(m2, 0)) AS BIGINT) AS links_s2
+  FROM ({V.SPINE}) s LEFT JOIN (SELECT s1_id, count(*) AS m, count(*) FILTER (WHERE starts_with(cand_id, 'S2-')) AS m2 FROM ({V.TRUTH}) t GROUP BY s1_id) t ON t.s1_id = s.s1_id""")
+def label_stats(spark, sf):
+    return profile.label_stats(V.view(spark, sf, V.TRUTH), V.view(spark, sf, V.SPINE))
+
+
+@query(f"SELECT cand_id, count(DISTINCT s1_id) AS n FROM ({V.SCORED}) t GROUP BY cand_id HAVING count(DISTINCT s1_id) > 1")
+def one_to_one_check(spark, sf):
+    return profile.shared_candidates(V.view(spark, sf, V.SCORED))
+
+
+@query(f"""SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only S2' ELSE 'only S3' END AS "where", count(*) AS n FROM (SELECT s1_id, bool_or(starts_with(cand_id, 'S2-')) AS a, bool_or(starts_with(cand_id, 'S3-')) AS b FROM ({V.TRUTH}) t GROUP BY s1_id) x GROUP BY 1""")
+def cooccurrence_s2_s3(spark, sf):
+    return profile.cooccurrence(V.view(spark, sf, V.TRUTH))
+
+
+@query(f"SELECT round(avg(CAST(regexp_matches(business_address, '[0-9]') AS INT)), 6) AS digits, round(avg(CAST(regexp_matches(business_address, '[A-Z]{{3,}}') AS INT)), 6) AS capitals FROM ({V.RECORDS}) r")
+def pattern_shares(spark, sf):
+    return profile.pattern_share(V.view(spark, sf, V.RECORDS), "business_address", {"digits": "[0-9]", "capitals": "[A-Z]{3,}"})
+
+
+@query(f"SELECT business_name, n FROM (SELECT business_name, count(*) AS n FROM ({V.RECORDS}) r GROUP BY business_name) x ORDER BY n DESC, business_name LIMIT 30")
+def common_names(spark, sf):
+    return profile.common_values(V.view(spark, sf, V.RECORDS), "business_name")
+
+
+@query(f"SELECT count(*) AS links, count(*) FILTER (WHERE a.country = b.country) AS same_country FROM ({V.TRUTH}) t JOIN ({V.RECORDS}) a ON a.entity_id = t.s1_id JOIN ({V.RECORDS}) b ON b.entity_id = t.cand_id")
+def country_consistency(spark, sf):
+    r = V.view(spark, sf, V.RECORDS)
+    return profile.country_consistency(V.view(spark, sf, V.TRUTH), r, r)
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE lower(a.business_name) = lower(b.business_name)) AS same_name, count(*) FILTER (WHERE lower(a.business_address) = lower(b.business_address)) AS same_address,
+  count(*) FILTER (WHERE lower(a.business_name) <> lower(b.business_name) AND lower(a.business_address) <> lower(b.business_address)) AS differ_in_both FROM ({V.TRUTH}) t JOIN ({V.RECORDS}) a ON a.entity_id = t.s1_id JOIN ({V.RECORDS}) b ON b.entity_id = t.cand_id""")
+def equality_inventory(spark, sf):
+    r = V.view(spark, sf, V.RECORDS)
+    a = r.select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("name_a"), F.col("business_address").alias("addr_a"))
+    b = r.select(F.col("entity_id").alias("cand_id"), F.col("business_name").alias("name_b"), F.col("business_address").alias("addr_b"))
+    return profile.equality_inventory(V.view(spark, sf, V.TRUTH).join(a, "s1_id").join(b, "cand_id"))
+
+
+# --- normalisation ---------------------------------------------------------------------------
+@query(r"""SELECT id, trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '[.,;:!?()\[\]{}''"/\\|_#@*+=~`^-]', ' ', 'g'), '\s+', ' ', 'g')) AS name_clean FROM (""" + V.PARTS + ") p")
+def name_normalize(spark, sf):
+    return V.view(spark, sf, V.PARTS).select("id", N.basic_clean(F.col("name"), unicode=False).alias("name_clean"))
+
+
+@query()
+def name_address_forms(spark, sf):
+    r = N.with_normal_forms(V.view(spark, sf, V.RECORDS))
+    return r.select("entity_id", "name.name_clean", "name.name_core", "name.legal_suffix", "name.name_tokens_sorted", "name.is_non_latin", "address.address_clean", "address.pin_code", "address.landmark_phrase", "address.is_missing", "address.address_length")
+
+
+@query(rf"SELECT entity_id, regexp_extract(business_address, '(^|[^\p{{L}}\p{{N}}_])([0-9]{{4,6}})($|[^\p{{L}}\p{{N}}_])', 2) AS pin FROM ({V.RECORDS}) r")
+def pin_extract(spark, sf):
+    r = V.view(spark, sf, V.RECORDS)
+    return r.select("entity_id", F.coalesce(N.raw_pin(F.col("business_address")), F.lit("")).alias("pin"))
+
+
+@query(f"SELECT id, concat_ws(' | ', concat('name: ', name), concat('address: ', brand)) AS text FROM ({V.PARTS}) p")
+def serialize_records(spark, sf):
+    return V.view(spark, sf, V.PARTS).select("id", N.serialize_record(F.col("name"), F.col("brand"), prefix_fields=True, unicode=False).alias("text"))
+
+
+# --- blocking --------------------------------------------------------------------------------
+def _arms(spark, sf):
+    r = V.view(spark, sf, V.RECORDS)
+    left, right = r.filter(F.col("entity_id").startswith("S1-")), r.filter(~F.col("entity_id").startswith("S1-"))
+    return left, right
+
+
+TOKENS = "SELECT entity_id, ord, unnest(list_distinct(string_split(lower(business_name), ' '))) AS key FROM ({r}) r".format(r=V.RECORDS)
+
+
+@query(f"SELECT key, count(*) AS df FROM ({TOKENS}) t WHERE key <> '' GROUP BY key")
+def token_df(spark, sf):
+    keys = blocking.exploded(V.view(spark, sf, V.RECORDS), "entity_id", F.split(F.lower("business_name"), " "), "id")
+    return blocking.document_frequency(keys)
+
+
+_RARE = f"WITH t AS (SELECT entity_id, key FROM ({TOKENS}) x WHERE key <> ''), rare AS (SELECT key FROM t GROUP BY key HAVING count(*) < 50) SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM t a JOIN rare USING (key) JOIN t b USING (key) WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%'"
+
+
+@query(_RARE)
+def block_rare_token(spark, sf):
+    left, right = _arms(spark, sf)
+    keys = F.split(F.lower("business_name"), " ")
+    return blocking.rare_key_pairs(blocking.exploded(left, "entity_id", keys, "s1_id"), blocking.exploded(right, "entity_id", keys, "cand_id"))
+
+
+_CAPPED = f"""WITH k AS (SELECT entity_id, ord, split_part(lower(business_name), ' ', 1) AS key FROM ({V.RECORDS}) r WHERE business_name <> ''), c AS (SELECT entity_id, key, row_number() OVER (PARTITION BY key ORDER BY ord, entity_id) AS r FROM k WHERE entity_id NOT LIKE 'S1-%' AND key <> '')
+  SELECT DISTINCT a.entity_id AS s1_id, c.entity_id AS cand_id FROM k a JOIN c ON c.key = a.key AND c.r <= 50 WHERE a.entity_id LIKE 'S1-%'"""
+
+
+@query(_CAPPED)
+def block_first_token_capped(spark, sf):
+    left, right = _arms(spark, sf)
+    key = F.split_part(F.lower("business_name"), F.lit(" "), F.lit(1)).alias("key")
+    left = left.select(F.col("entity_id").alias("s1_id"), key).filter("key <> ''")
+    return blocking.key_pairs(left, right.select(F.col("entity_id").alias("cand_id"), "ord", key).filter("key <> ''"), cap=50)
+
+
+@query(f"WITH a AS ({_RARE}), b AS ({_CAPPED}) SELECT s1_id, cand_id, CAST(sum(arm) AS INT) AS arms FROM (SELECT *, 1 AS arm FROM a UNION ALL SELECT *, 2 AS arm FROM b) u GROUP BY s1_id, cand_id")
+def block_union_arms(spark, sf):
+    return blocking.union_arms({"rare": block_rare_token(spark, sf), "first": block_first_token_capped(spark, sf)})
+
+
+@query(f"WITH p AS ({_RARE}), t AS ({V.TRUTH}) SELECT count(p.s1_id) AS covered, count(*) AS total, round(count(p.s1_id) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS recall FROM t LEFT JOIN p ON p.s1_id = t.s1_id AND p.cand_id = t.cand_id")
+def blocking_recall(spark, sf):
+    return _round(metrics.pair_recall(block_rare_token(spark, sf), V.view(spark, sf, V.TRUTH)), "recall")
+
+
+@query(f"SELECT DISTINCT least(a.cand_id, b.cand_id) AS a, greatest(a.cand_id, b.cand_id) AS b FROM ({V.TRUTH}) a JOIN ({V.TRUTH}) b ON a.s1_id = b.s1_id WHERE a.cand_id < b.cand_id")
+def cohort_pairs(spark, sf):
+    return blocking.cohort_pairs(V.view(spark, sf, V.TRUTH))
+
+
+@query(f"SELECT entity_id FROM ({V.RECORDS}) r WHERE entity_id IN (SELECT cand_id FROM ({V.TRUTH}) t)")
+def semi_reduced_records(spark, sf):
+    return blocking.semi(V.view(spark, sf, V.RECORDS), V.view(spark, sf, V.TRUTH).select("cand_id"), "entity_id").select("entity_id")
+
+
+# --- similarities ----------------------------------------------------------------------------
+_NAMES = f"SELECT a.name AS a, b.name AS b FROM (SELECT DISTINCT name FROM ({V.PARTS}) p) a JOIN (SELECT DISTINCT name FROM ({V.PARTS}) p) b ON split_part(a.name, ' ', 2) = split_part(b.name, ' ', 2)"
+
+
+@query(f"SELECT a, b, round(1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE), 6) AS lev, round(least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE), 6) AS len_ratio, round(jaro_winkler_similarity(a, b), 6) AS jw FROM ({_NAMES}) n")
+def string_similarities(spark, sf):
+    n = V.view(spark, sf, _NAMES)
+    a, b = F.col("a"), F.col("b")
+    return _round(n.select("a", "b", S.levenshtein_ratio(a, b).alias("lev"), S.length_ratio(a, b).alias("len_ratio"), S.jaro_winkler(a, b).alias("jw")), "lev", "len_ratio", "jw")
+
+
+@query(f"""SELECT a, b, round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / CAST(len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS DOUBLE), 6) AS jaccard FROM ({_NAMES}) n""")
+def jaccard_tokens(spark, sf):
+    n = V.view(spark, sf, _NAMES)
+    return _round(n.select("a", "b", S.jaccard(F.split("a", " "), F.split("b", " ")).alias("jaccard")), "jaccard")
+
+
+@query()
+def token_ratios(spark, sf):
+    n = V.view(spark, sf, _NAMES)
+    a, b = F.col("a"), F.col("b")
+    return _round(n.select("a", "b", S.token_sort_ratio(a, b).alias("token_sort"), S.token_set_ratio(a, b).alias("token_set")), "token_sort", "token_set")
+
+
+@query()
+def pair_features(spark, sf):
+    r = N.with_normal_forms(V.view(spark, sf, V.RECORDS))
+    return features.pair_features(features.with_records(V.view(spark, sf, V.TRUTH), r, r), udfs=False)
+
+
+_GRAMS = "SELECT DISTINCT p_name AS name FROM part"
+_TFIDF = f"""WITH d AS ({_GRAMS}), w AS (SELECT name, unnest(string_split(lower(name), ' ')) AS word FROM d), g AS (SELECT name, substr(concat(' ', word, ' '), CAST(i AS INT), 3) AS gram FROM (SELECT name, word, unnest(range(1, greatest(length(word), 1) + 1)) AS i FROM w WHERE word <> '') x),
+  tf AS (SELECT name, gram, count(*) AS tf FROM g GROUP BY name, gram), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 2),
+  w0 AS (SELECT name, tf.gram, tf * (ln((1 + (SELECT count(*) FROM d)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df ON df.gram = tf.gram), wn AS (SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM w0)"""
+
+
+@query(_TFIDF + " SELECT name AS id, gram, round(w, 6) AS w FROM wn")
+def tfidf_weights(spark, sf):
+    return _round(tfidf.weights(V.view(spark, sf, _GRAMS), "name", "name"), "w")
+
+
+@query(_TFIDF + ", s AS (SELECT a.name AS s1_id, b.name AS cand_id, round(sum(a.w * b.w), 6) AS score FROM wn a JOIN wn b ON a.gram = b.gram GROUP BY a.name, b.name) SELECT s1_id, cand_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM s) r WHERE rank <= 20")
+def tfidf_topk(spark, sf):
+    w = tfidf.weights(V.view(spark, sf, _GRAMS), "name", "name")
+    return tfidf.nearest(w, w, 20)
+
+
+def _vectors(spark, sf):
+    e = V.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("string").alias("label"), "vec_id")
+    return e.filter("vec_id % 10 = 0").drop("vec_id"), e.filter("vec_id % 10 <> 0").drop("vec_id")
+
+
+_DOT = "round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6)"
+
+
+def _vector_sql(condition: str) -> str:
+    return f"SELECT s1_id, cand_id, score, CAST(rank AS INT) AS rank FROM (SELECT CAST(q.vec_id AS STRING) AS s1_id, CAST(c.vec_id AS STRING) AS cand_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, CAST(c.vec_id AS STRING)) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0{condition}) x WHERE rank <= 20"
+
+
+@query(_vector_sql(""))
+def vector_topk(spark, sf):
+    return vectors.top_k(*_vectors(spark, sf), 20)
+
+
+@query(_vector_sql(" AND q.label = c.label"))
+def vector_topk_partitioned(spark, sf):
+    return vectors.top_k(*_vectors(spark, sf), 20, partition="label")
+
+
+# --- decisions -------------------------------------------------------------------------------
+@query(f"SELECT s1_id, cand_id, score FROM ({V.SCORED}) s WHERE score >= 0.95")
+def threshold_pairs(spark, sf):
+    return decision.above(V.view(spark, sf, V.SCORED), 0.95)
+
+
+@query(f"SELECT s1_id, cand_id, score FROM ({V.SCORED}) s WHERE score BETWEEN 0.3 AND 0.7")
+def uncertain_band(spark, sf):
+    return decision.uncertain(V.view(spark, sf, V.SCORED))
+
+
+@query(WON)
+def one_to_one(spark, sf):
+    return decision.assign(V.view(spark, sf, V.SCORED))
+
+
+_TRIGGERED = f"SELECT s1_id, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY score DESC, s1_id) AS r FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM ({V.SCORED}) x) y WHERE top >= 0.99 AND score >= 0.9) z WHERE r = 1"
+
+
+@query(_TRIGGERED)
+def anchor_trigger(spark, sf):
+    return decision.predictions(V.view(spark, sf, V.SCORED), 0.9, 0.99)
+
+
+@query(f"WITH w AS (SELECT * FROM ({WON}) x WHERE score >= 0.9), r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS k FROM w), t AS (SELECT s1_id, max(score) AS a, max(score) FILTER (WHERE k = 2) AS b FROM r GROUP BY s1_id) SELECT w.s1_id, cand_id, score FROM w JOIN t ON t.s1_id = w.s1_id WHERE a >= 0.95 AND (b IS NULL OR a - b >= 0.001)")
+def singleton_rule(spark, sf):
+    return decision.singleton_rule(V.view(spark, sf, V.SCORED), 0.9, 0.95, 0.001)
+
+
+@query(f"SELECT s1_id, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS r FROM ({V.SCORED}) x) y WHERE score >= 0.999 OR r = 1")
+def above_or_best(spark, sf):
+    return decision.above_or_best(V.view(spark, sf, V.SCORED), 0.999)
+
+
+@query(f"SELECT s1_id, cand_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM ({V.SCORED}) x) y WHERE rank <= 10")
+def rank_topk(spark, sf):
+    return decision.top_k(V.view(spark, sf, V.SCORED), 10)
+
+
+@query(f"SELECT s.s1_id AS source1_entity_id, coalesce(string_agg(w.cand_id, ',' ORDER BY w.score DESC, w.cand_id), '') AS matched_entity_ids FROM ({V.CUSTOMERS}) s LEFT JOIN (SELECT * FROM ({WON}) x WHERE score >= 0.95) w ON w.s1_id = s.s1_id GROUP BY s.s1_id")
+def fill_spine_submission(spark, sf):
+    return sinks.matching_table(decision.assign(V.view(spark, sf, V.SCORED)), V.view(spark, sf, V.CUSTOMERS), 0.95)
+
+
+@query(f"SELECT s1_id AS source1_entity_id, string_agg(cand_id, ',' ORDER BY rank) AS candidate_entity_ids FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM ({V.SCORED}) x) y WHERE rank <= 10 GROUP BY s1_id UNION ALL SELECT s1_id, '' FROM ({V.CUSTOMERS}) c WHERE s1_id NOT IN (SELECT s1_id FROM ({V.SCORED}) z)")
+def candidate_tsv(spark, sf):
+    return sinks.candidate_table(rank_topk(spark, sf), V.view(spark, sf, V.CUSTOMERS))
+
+
+# --- metrics ---------------------------------------------------------------------------------
+@query(f"SELECT s1_id, tp, n_pred, n_true, round({F05}, 6) AS f05 FROM ({counts_sql(f'SELECT * FROM ({WON}) x WHERE score >= 0.95')}) c")
+def entity_f05(spark, sf):
+    return _round(metrics.entity_f05(decision.predictions(V.view(spark, sf, V.SCORED), 0.95), V.view(spark, sf, V.LINKS), V.view(spark, sf, V.CUSTOMERS)), "f05")
+
+
+_GRID = ", ".join(f"({k}, CAST({t} AS DOUBLE))" for k, t in enumerate(metrics.THRESHOLDS))
+
+
+def _sweep_sql() -> str:
+    return f"""WITH g(k, threshold) AS (VALUES {_GRID}), w AS ({WON}), l AS ({V.LINKS}), c AS ({V.CUSTOMERS}), n AS (SELECT c.s1_id, count(l.cand_id) AS n_true FROM c LEFT JOIN l ON l.s1_id = c.s1_id GROUP BY c.s1_id),
+  e AS (SELECT g.k, g.threshold, n.s1_id, max(n.n_true) AS n_true, count(w.cand_id) AS n_pred, count(l.cand_id) AS tp FROM g CROSS JOIN n LEFT JOIN w ON w.s1_id = n.s1_id AND w.score >= g.threshold LEFT JOIN l ON l.s1_id = w.s1_id AND l.cand_id = w.cand_id GROUP BY g.k, g.threshold, n.s1_id)
+  SELECT k, threshold, round(avg({F05}), 6) AS macro_f05, round(sum(tp) / CAST(greatest(sum(n_pred), 1) AS DOUBLE), 6) AS micro_precision, round(sum(tp) / CAST(sum(n_true) AS DOUBLE), 6) AS micro_recall, CAST(sum(n_pred) AS BIGINT) AS predicted_pairs FROM e GROUP BY k, threshold"""
+
+
+@query(_sweep_sql())
+def threshold_sweep(spark, sf):
+    s = metrics.sweep(V.view(spark, sf, V.SCORED), V.view(spark, sf, V.LINKS), V.view(spark, sf, V.CUSTOMERS), metrics.THRESHOLDS)
+    return _round(s, "macro_f05", "micro_precision", "micro_recall").drop("min_top_score", "singleton_accuracy")
+
+
+@query()
+def trigger_sweep(spark, sf):
+    s = metrics.sweep(V.view(spark, sf, V.SCORED), V.view(spark, sf, V.LINKS), V.view(spark, sf, V.CUSTOMERS), metrics.THRESHOLDS, metrics.OFFSETS)
+    return metrics.best(_round(s, "macro_f05", "micro_precision", "micro_recall", "singleton_accuracy"))
+
+
+_LABELLED = f"SELECT s.s1_id, s.cand_id, s.score, CASE WHEN l.cand_id IS NULL THEN 0 ELSE 1 END AS y FROM ({V.SCORED}) s LEFT JOIN ({V.LINKS}) l ON l.s1_id = s.s1_id AND l.cand_id = s.cand_id"
+
+
+def _labelled(spark, sf):
+    return decision.with_labels(V.view(spark, sf, V.SCORED), V.view(spark, sf, V.LINKS)).withColumnRenamed("is_match", "y")
+
+
+@query(f"WITH b AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM ({_LABELLED}) x GROUP BY score), c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM b) SELECT round(CAST(sum(neg * (tp - pos / CAST(2 AS DOUBLE))) AS DOUBLE) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * tp / CAST(tp + fp AS DOUBLE)) / sum(pos), 6) AS pr_auc FROM c")
+def roc_pr_auc(spark, sf):
+    return _round(metrics.roc_pr_auc(_labelled(spark, sf)), "roc_auc", "pr_auc")
+
+
+@query(f"SELECT round(avg((score - y) * (score - y)), 6) AS brier FROM ({_LABELLED}) x")
+def brier(spark, sf):
+    return _round(metrics.brier(_labelled(spark, sf)), "brier")
+
+
+_RANKED = f"SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM ({V.SCORED}) x"
+
+
+@query(f"""WITH r AS ({_RANKED}), t AS (SELECT l.s1_id, l.cand_id, r.rank FROM ({V.LINKS}) l JOIN (SELECT DISTINCT s1_id FROM r) k ON k.s1_id = l.s1_id LEFT JOIN r ON r.s1_id = l.s1_id AND r.cand_id = l.cand_id), p AS (SELECT k, s1_id, count(*) FILTER (WHERE rank <= k) AS hit, count(*) AS n FROM t CROSS JOIN (VALUES (1), (5), (20)) g(k) GROUP BY k, s1_id)
+  SELECT k, round(sum(hit) / CAST(sum(n) AS DOUBLE), 6) AS micro, round(avg(hit / CAST(n AS DOUBLE)), 6) AS macro, round(avg(CAST(hit = n AS INT)), 6) AS all_hits FROM p GROUP BY k""")
+def recall_at_k(spark, sf):
+    r = decision.ranked(V.view(spark, sf, V.SCORED))
+    return _round(metrics.recall_at_k(r, V.view(spark, sf, V.LINKS), [1, 5, 20]), "micro", "macro", "all_hits")
+
+
+@query(f"SELECT country, round(avg({F05}), 6) AS macro_f05, count(*) AS n FROM ({counts_sql(f'SELECT * FROM ({WON}) x WHERE score >= 0.95')}) c JOIN ({V.CUSTOMERS}) k ON k.s1_id = c.s1_id GROUP BY country")
+def loco_f05(spark, sf):
+    return _round(metrics.grouped_f05(decision.predictions(V.view(spark, sf, V.SCORED), 0.95), V.view(spark, sf, V.LINKS), V.view(spark, sf, V.CUSTOMERS), "country"), "macro_f05")
+
+
+@query(f"""WITH p AS (SELECT * FROM ({WON}) x WHERE score >= 0.95), l AS ({V.LINKS}), s AS ({V.SCORED}) SELECT * FROM (SELECT 'FP' AS kind, p.s1_id, p.cand_id, p.score FROM p LEFT JOIN l ON l.s1_id = p.s1_id AND l.cand_id = p.cand_id WHERE l.s1_id IS NULL ORDER BY p.score DESC, p.s1_id, p.cand_id LIMIT 50) a
+  UNION ALL SELECT * FROM (SELECT 'FN' AS kind, l.s1_id, l.cand_id, coalesce(s.score, 0.0) AS score FROM l LEFT JOIN p ON l.s1_id = p.s1_id AND l.cand_id = p.cand_id LEFT JOIN s ON s.s1_id = l.s1_id AND s.cand_id = l.cand_id WHERE p.s1_id IS NULL ORDER BY coalesce(s.score, 0.0), l.s1_id, l.cand_id LIMIT 50) b""")
+def fp_fn_topk(spark, sf):
+    s = V.view(spark, sf, V.SCORED)
+    return metrics.false_pairs(decision.predictions(s, 0.95), s, V.view(spark, sf, V.LINKS))
+
+
+@query()
+def rank_features(spark, sf):
+    s = V.view(spark, sf, V.SCORED)
+    bi = decision.ranked(s.select("s1_id", "cand_id", (F.col("score") * 0.9).alias("score"))).withColumnRenamed("score", "bi_score")
+    x = decision.rank_features(s, bi, V.view(spark, sf, V.LINKS))
+    return _round(x, *[c for c, t in x.dtypes if t == "double"])
+
+
+@query(f"SELECT count(*) FILTER (WHERE s1_id IS NULL) AS null_s1_id, count(*) FILTER (WHERE cand_id IS NULL) AS null_cand_id, count(*) FILTER (WHERE score IS NULL) AS null_score, count(*) FILTER (WHERE score < -0.000001 OR score > 1.000001) AS bad_score FROM ({V.SCORED}) s")
+def contract_validation(spark, sf):
+    return validate.feature_violations(V.view(spark, sf, V.SCORED))
+
+
+@query(f"WITH m AS (SELECT DISTINCT s1_id FROM ({WON}) x WHERE score >= 0.95), s AS ({V.CUSTOMERS}) SELECT 'missing entity' AS rule, count(*) AS n, (SELECT string_agg(s1_id, ',' ORDER BY s1_id) FROM (SELECT s1_id FROM s WHERE s1_id NOT IN (SELECT s1_id FROM m) ORDER BY s1_id LIMIT 5) f) AS examples FROM s WHERE s1_id NOT IN (SELECT s1_id FROM m) HAVING count(*) > 0")
+def submission_validation(spark, sf):
+    t = fill_spine_submission(spark, sf).filter("matched_entity_ids <> ''")  # entities without matches are left out, which is an error
+    return validate.validate_submission(t, V.view(spark, sf, V.CUSTOMERS))
+
+
+# --- splits ----------------------------------------------------------------------------------
+@query(f"SELECT s1_id, country, r <= greatest(1, CAST(floor(n * 0.2) AS BIGINT)) AS is_val FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5(concat_ws('|', '42', s1_id)), s1_id) AS r, count(*) OVER (PARTITION BY country) AS n FROM ({V.CUSTOMERS}) c) x")
+def stratified_split(spark, sf):
+    return splits.stratified_split(V.view(spark, sf, V.CUSTOMERS), "s1_id", ["country"])
+
+
+@query(f"WITH x AS ({_LABELLED}), k AS (SELECT CAST(sum(y) * 3 AS BIGINT) AS want FROM x) SELECT s1_id, cand_id, score, y AS is_match FROM x WHERE y = 1 UNION ALL SELECT s1_id, cand_id, score, y FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', s1_id, cand_id)), s1_id, cand_id) AS r FROM x WHERE y = 0) z, k WHERE r <= want")
+def sampled_negatives(spark, sf):
+    return splits.sample_negatives(decision.with_labels(V.view(spark, sf, V.SCORED), V.view(spark, sf, V.LINKS)))
+
+
+# --- linkage and graphs ----------------------------------------------------------------------
+_COLUMNS = ["b1", "b2", "b3", "b4", "b5"]
+
+
+@query(f"SELECT b1, b2, b3, b4, b5, count(*) AS n FROM ({V.BITS}) b GROUP BY b1, b2, b3, b4, b5")
+def em_pattern_counts(spark, sf):
+    return linkage.pattern_counts(V.view(spark, sf, V.BITS), _COLUMNS)
+
+
+@query(f"SELECT b1, b2, b3, b4, b5, n, round(1 / (1 + exp(-(" + " + ".join(f"CASE WHEN {c} > 0 THEN ln(0.9 / 0.2) ELSE ln(0.1 / 0.8) END" for c in _COLUMNS) + f"))), 6) AS score FROM (SELECT b1, b2, b3, b4, b5, count(*) AS n FROM ({V.BITS}) b GROUP BY b1, b2, b3, b4, b5) x")
+def fs_score_given_mu(spark, sf):
+    m, u = dict.fromkeys(_COLUMNS, 0.9), dict.fromkeys(_COLUMNS, 0.2)
+    return _round(linkage.score_bits(linkage.pattern_counts(V.view(spark, sf, V.BITS), _COLUMNS), _COLUMNS, m, u), "score")
+
+
+@query()
+def fs_em_scores(spark, sf):
+    bits = V.view(spark, sf, V.BITS)
+    scored, _, _ = linkage.fellegi_sunter(bits, _COLUMNS)
+    return _round(scored.groupBy(*_COLUMNS).agg(F.count("*").alias("n"), F.first("score").alias("score")), "score")
+
+
+def _edges(spark, sf):
+    """A sparse graph: links as edges, whose components are not trivial."""
+    return decision.above(V.view(spark, sf, V.SCORED), 0.998).select(F.col("s1_id").alias("a"), F.col("cand_id").alias("b"), F.col("score").alias("weight"))
+
+
+_EDGES = f"SELECT s1_id AS a, cand_id AS b, score AS weight FROM ({V.SCORED}) s WHERE score >= 0.998"
+_BOTH = f"WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e)"
+
+
+@query(_BOTH + ", c(node, root) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, c.root FROM c JOIN s ON s.a = c.node) SELECT node, min(root) AS component FROM c GROUP BY node")
+def connected_components(spark, sf):
+    return graph.components(_edges(spark, sf))
+
+
+@query()
+def voronoi_partition(spark, sf):
+    return _round(graph.nearest_entity(_edges(spark, sf), lambda n: n.startswith("S1-")), "distance")
+
+
+@query()
+def singleton_prune(spark, sf):
+    return graph.prune_singletons(voronoi_partition(spark, sf), V.view(spark, sf, V.SCORED), 0.999).select("s1_id", "cand_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Blocking, normalisation, similarity, one entity for each candidate, F0.5 of every entity."""
+    r = N.with_normal_forms(V.view(spark, sf_dir, V.RECORDS))
+    pairs = block_rare_token(spark, sf_dir)
+    x = features.pair_features(features.with_records(pairs, r, r), udfs=False)
+    scored = x.select("s1_id", "cand_id", ((F.col("lev_name") + F.col("jaccard_name_tok") + F.col("jaccard_name_3g")) / 3).alias("score"))
+    return metrics.entity_f05(decision.predictions(scored, 0.8), V.view(spark, sf_dir, V.TRUTH), V.view(spark, sf_dir, V.SPINE))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
