@@ -6,9 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import augment
 from ..functions import normalize as N
 from ..functions import similarity as S
-from ..operators import blocking, decision, features, graph, linkage, metrics, profile, splits, tfidf, validate, vectors
+from ..operators import blocking, decision, features, graph, linkage, metrics, models, profile, splits, tfidf, training, validate, vectors
 from ..sources import sinks
 from . import views as V
 
@@ -446,6 +447,54 @@ def singleton_prune(spark, sf):
     return graph.prune_singletons(voronoi_partition(spark, sf), V.view(spark, sf, V.SCORED), 0.999).select("s1_id", "cand_id")
 
 
+# --- training rows, models, noise ------------------------------------------------------------
+@query(f"SELECT s1_id, cand_id, CAST(rank AS INT) AS rank FROM (SELECT r.*, row_number() OVER (PARTITION BY r.s1_id ORDER BY rank, r.cand_id) AS k FROM ({_RANKED}) r LEFT JOIN ({V.LINKS}) l ON l.s1_id = r.s1_id AND l.cand_id = r.cand_id WHERE l.s1_id IS NULL) x WHERE k <= 2")
+def hard_negative_rank(spark, sf):
+    return training.hard_negatives(decision.ranked(V.view(spark, sf, V.SCORED)), V.view(spark, sf, V.LINKS), 0, 2).select("s1_id", "cand_id", "rank")
+
+
+def _texts(spark, sf):
+    left = V.table(spark, sf, "customer").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("id"), F.concat_ws(" | ", "c_name", "c_mktsegment").alias("text"))
+    right = V.table(spark, sf, "supplier").select(F.concat(F.lit("S2-"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("text"))
+    return left, right
+
+
+@query()
+def triplets(spark, sf):
+    return training.triplets(decision.ranked(V.view(spark, sf, V.SCORED)), V.view(spark, sf, V.LINKS), *_texts(spark, sf), negatives=2)
+
+
+@query()
+def cross_pairs(spark, sf):
+    return training.labelled_pairs(decision.ranked(V.view(spark, sf, V.SCORED)), V.view(spark, sf, V.LINKS), *_texts(spark, sf), V.view(spark, sf, V.CUSTOMERS))
+
+
+@query()
+def gbt_scores(spark, sf):
+    rows = V.view(spark, sf, V.SCORED)
+    x = decision.with_labels(decision.ranked(rows).withColumn("gap", 1 - F.col("score")), V.view(spark, sf, V.LINKS))
+    columns = ["score", "rank", "gap"]
+    model = models.fit_trees(x, columns, trees=10, depth=3)
+    return _round(models.tree_scores(model, x, columns), "score")
+
+
+@query()
+def isotonic_calibration(spark, sf):
+    return _round(models.calibrated(_labelled(spark, sf)).groupBy("score").agg(F.first("calibrated").alias("calibrated")), "calibrated")
+
+
+@query()
+def augment_batch(spark, sf):
+    return augment.augment_batch(V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" | ", "c_name", "c_mktsegment").alias("text")), "id", "text", 3)
+
+
+@query(f"SELECT id, CASE WHEN trim(regexp_replace(regexp_replace(t, '\\b[0-9]{{4,7}}\\b', ' ', 'g'), '\\s+', ' ', 'g')) = '' THEN t ELSE trim(regexp_replace(regexp_replace(t, '\\b[0-9]{{4,7}}\\b', ' ', 'g'), '\\s+', ' ', 'g')) END AS text FROM (SELECT id, concat(name, ' | ', brand, ' ', CAST(10000 + length(name) AS STRING)) AS t FROM ({V.PARTS}) p) x")
+def augment_drop_pin(spark, sf):
+    p = V.view(spark, sf, V.PARTS)
+    text = F.concat(F.col("name"), F.lit(" | "), F.col("brand"), F.lit(" "), (10000 + F.length("name")).cast("string"))
+    return p.select("id", augment.applied(text, "drop_pin").alias("text"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocking, normalisation, similarity, one entity for each candidate, F0.5 of every entity."""
     r = N.with_normal_forms(V.view(spark, sf_dir, V.RECORDS))
