@@ -41,10 +41,29 @@ _NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0
 _NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _NEWER = regex.compile("[" + "".join(map(chr, _NEWER_LOWER)) + "]")
 
-#: The file's own split pattern, with its white space spelt as the Unicode property.
+#: Letters and numbers of Unicode 16, the library's version, that 15.1, Python's, lacks.
+_SIXTEEN = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D40-10D49 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3
+116D0-116E3 11BC0-11BE0 11BF0-11BF9 13460-143FA 16100-1611D 16130-16139 16D40-16D6C 16D70-16D79 18CFF 1CCF0-1CCF9 1E5D0-1E5ED 1E5F0 1E5F1-1E5FA"""
+
+
+def _newer() -> str:
+    """Letters and numbers that the regex module knows from later versions, as ranges of a set."""
+    known = {c for r in _SIXTEEN.split() for a, _, b in [r.partition("-")] for c in range(int(a, 16), int(b or a, 16) + 1)}
+    match = regex.compile(r"[\p{L}\p{N}]").match
+    late = [c for c in range(0x80, 0x40000) if unicodedata.category(chr(c)) == "Cn" and c not in known and match(chr(c))]
+    return "".join(f"\\U{c:08X}" for c in late)
+
+
+#: The file's own split pattern, with white space spelt as the Unicode property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 
+def late_split(late: str) -> str:
+    """The same where letters and numbers of later versions are neither."""
+    letter, number = (rf"[\p{{{k}}}--[{late}]]" for k in "LN")
+    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|(?:(?!{letter}|{number})[^\p{{White_Space}}])+"
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     if os.path.isabs(name):
         return name
@@ -117,7 +136,11 @@ class WordBPE:
         chars = byte_characters()
         self.inner = [self.vocab[c] for c in chars]
         self.last = [self.vocab[c + self.suffix] for c in chars]
-        self.split = regex.compile(SPLIT).findall
+        self.split = self.late_split = regex.compile(SPLIT).findall
+        late = _newer()
+        self.late = regex.compile(f"[{late}]" if late else "(?!)").search
+        if late:
+            self.late_split = regex.compile(late_split(late)).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._inner, self._last = np.array(self.inner, np.int32), np.array(self.last, np.int32)
         size = max(self.token) + 1
@@ -261,7 +284,10 @@ class WordBPE:
             if _NEWER.search(text):
                 text = text.translate(_NEWER_LOWER)
         text = text.lower()
-        return [text] if text.isalpha() else self.split(text)
+        if text.isalpha():
+            return [text]
+        # letters of later versions are all beyond the Latin ones
+        return self.late_split(text) if max(text, default="") > "\u0300" and self.late(text) else self.split(text)
 
     def words_of(self, text: str) -> list[str]:
         """The words to merge; a special token stands as itself."""
