@@ -77,12 +77,6 @@ def crc_mod(col: str, m: int):
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(m)), F.lit(-1))
 
 
-def crc_mod_py(ids: list, m: int) -> list[int]:
-    import zlib
-
-    return [-1 if i is None else zlib.crc32(str(i).encode()) % m for i in ids]
-
-
 # --- hashing ---------------------------------------------------------------------------------
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, elementwise on uint64."""
@@ -139,7 +133,8 @@ class Words:
             cut = inner[inner > 0] - 1
             last[cut] = word[cut]
             self.end = np.flatnonzero(last) + 1
-            pos = np.arange(len(data)) - np.repeat(self.start, np.diff(np.append(self.start, len(data)))) if self.start[0] == 0 else self._pos(len(data))
+            pos = np.arange(len(data))
+            pos[self.start[0]:] -= np.repeat(self.start, np.diff(np.append(self.start, len(data))))
             value = (_BYTE_LOWER if lower else _BYTE)[data]
             value[~word] = 0
             pos[~word] = 0
@@ -152,11 +147,6 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
 
-    def _pos(self, n: int) -> np.ndarray:
-        pos = np.arange(n)
-        pos[self.start[0]:] -= np.repeat(self.start, np.diff(np.append(self.start, n)))
-        return pos
-
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and where each begins; a null is empty."""

@@ -41,27 +41,27 @@ def facts(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def targets(sizes: DataFrame, share: float, weights: Sequence[float], most_copies: float) -> DataFrame:
-    """One row for each source: __source, source_size, target, base copies, f, words to sample, mean size.
+    """One row for each source: __source, __total, __target, base copies, f, words to sample, mean size.
 
     Water-filling: sources in order of the level at which they fill up (cap / weight); a source is
     full if the level that would be left for it and all later ones reaches its own."""
-    by = sizes.groupBy(F.col("source").alias("__source")).agg(F.sum("__size").alias("source_size"), F.sum((F.col("__size") > 0).cast("long")).alias("__n"))
+    by = sizes.groupBy(F.col("source").alias("__source")).agg(F.sum("__size").alias("__total"), F.sum((F.col("__size") > 0).cast("long")).alias("__n"))
     rank = Window.orderBy(F.col("__source").isNull(), F.col("__source"))
     fill = Window.orderBy("__level", F.col("__source").isNull(), F.col("__source"))
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     after = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.row_number().over(rank) - 1, F.lit(len(weights))) + 1).cast("int"))
-    by = by.withColumn("__w", w).withColumn("__cap", F.col("source_size") * F.lit(float(most_copies))).withColumn("__level", F.col("__cap") / F.col("__w"))
-    by = by.withColumn("__left", F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0)))
+    by = by.withColumn("__w", w).withColumn("__cap", F.col("__total") * F.lit(float(most_copies))).withColumn("__level", F.col("__cap") / F.col("__w"))
+    by = by.withColumn("__left", F.lit(share) * F.sum("__total").over(everything) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0)))
     by = by.withColumn("__lambda", F.col("__left") / F.sum("__w").over(after))
     # levels fall from the first source that is not full on, so that row's level holds for the rest
     by = by.withColumn("__open", F.min(F.when(F.col("__lambda") < F.col("__level"), F.struct("__level", "__lambda"))).over(everything))
-    by = by.withColumn("target", F.when(F.col("__open").isNull() | (F.col("__level") < F.col("__open.__level")), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__open.__lambda") * F.col("__w"))))
-    r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    by = by.withColumn("__target", F.when(F.col("__open").isNull() | (F.col("__level") < F.col("__open.__level")), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__open.__lambda") * F.col("__w"))))
+    r = F.when(F.col("__total") > 0, F.col("__target") / F.col("__total")).otherwise(0.0)
     base = F.floor(r + F.lit(1e-9))
-    return by.select("__source", "source_size", "target", base.alias("__base"), F.greatest(r - base, F.lit(0.0)).alias("__f"),
-                     F.greatest(F.col("target") - base * F.col("source_size"), F.lit(0.0)).alias("__budget"), (F.col("source_size") / F.greatest("__n", F.lit(1))).alias("__mean"))
+    return by.select("__source", "__total", "__target", base.alias("__base"), F.greatest(r - base, F.lit(0.0)).alias("__f"),
+                     F.greatest(F.col("__target") - base * F.col("__total"), F.lit(0.0)).alias("__budget"), (F.col("__total") / F.greatest("__n", F.lit(1))).alias("__mean"))
 
 
 def rank_key() -> Column:
@@ -120,8 +120,8 @@ def plan_mix(docs: DataFrame, *, share: float = 1.5, weights: Sequence[float] =
     key = F.struct(F.col("__z"), F.col("__h"))
     taken = F.coalesce((F.col("__budget") > 0) & (F.col("__size") > 0) & (F.col("__cut").isNull() | (key < F.col("__cut")) | F.coalesce(key == F.struct(F.col("__fill.__z").alias("__z"), F.col("__fill.__h").alias("__h")), F.lit(False))), F.lit(False))
     out = _with(rows, per, few).withColumn("__z", rank_key()).withColumn("__copies", F.col("__base") + taken.cast("long"))
-    made = F.struct(F.col("__size").alias("size"), "source_size", "target", F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"))
-    names = [c for c in (docs.columns if light is None else light.columns) if not c.startswith("__")]
+    made = F.struct(F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    names = docs.columns if light is None else [c for c in light.columns if not c.startswith("__")]
     return out.withColumn("_mix", made).select(*[F.col(f"`{c}`") for c in names], "_mix")
 
 

@@ -124,7 +124,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = 200) -> DataF
 
 def spans_digest(docs: DataFrame) -> DataFrame:
     """The digest columns of op5."""
-    rows = scan_secrets(docs.select("doc_id", "text").withColumn("text", F.col("text")))
+    rows = scan_secrets(docs.select("doc_id", "text"))
     base = F.filter("_spans", lambda s: s["kind"] < BASE)
     n = [F.size(F.filter("_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
     return rows.select("doc_id", *n, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("_spans")).alias("spans"))
