@@ -133,16 +133,13 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """window, first, dg, at: the windows that hold a shared symbol."""
+    """window, first, tid: the distinct windows of each text that hold a shared symbol."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 w = Words(col(part, "text"))
                 at, symbol = landmarks(w)
-                shared = col(part, "shared")
-                owner = np.repeat(np.arange(w.n), np.diff(shared.offsets.to_numpy()))
-                flat = shared.flatten().to_numpy().view(U)
-                hit = np.isin(mix(symbol + mix(w.doc[at].astype(U))), mix(flat + mix(owner.astype(U))))
+                hit = _among(symbol, w.doc[at], col(part, "shared"))
                 # windows from at + LENGTH - WINDOW to at hold the symbol at `at`
                 n = len(w.hash)
                 edge = np.zeros(n + 1, np.int64)
@@ -151,32 +148,40 @@ def _windows(texts: DataFrame) -> DataFrame:
                 np.add.at(edge, at[hit] + 1, -1)
                 p = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 p = p[p + WINDOW <= w.first[w.doc[p] + 1]]
-                h = window_hash(w.hash, WINDOW)[p]
-                own = w.doc[p]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), col(part, "first").take(pa.array(own)), col(part, "dg").take(pa.array(own)), pa.array(p - w.first[own], pa.int32())], ["window", "first", "dg", "at"])
+                h, own = window_hash(w.hash, WINDOW)[p], w.doc[p]
+                _, once = np.unique(mix(h + mix(own.astype(U))), return_index=True)
+                once.sort()
+                h, own = h[once], pa.array(own[once])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), col(part, "first").take(own), col(part, "tid").take(own)], ["window", "first", "tid"])
+
+    return texts.select("first", "tid", "text", "shared").mapInArrow(run, "window long, first long, tid long")
+
 
-    return texts.select("dg", "first", "text", "shared").mapInArrow(run, "window long, first long, dg binary, at int")
+def _among(values: np.ndarray, owner: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether each value is in its owner's list."""
+    flat = lists.flatten().to_numpy().view(U)
+    of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return np.isin(mix(values + mix(owner.astype(U))), mix(flat + mix(of.astype(U))))
 
 
 def _removed(texts: DataFrame) -> DataFrame:
-    """dg, first, gone, kept_sha256, from each text and the places of its repeated windows."""
+    """dg, gone, new_sha, from each text and its windows that start earlier."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 w = Words(col(part, "text"))
-                gone, sha = [], []
-                for i, at in enumerate(col(part, "places").to_pylist()):
-                    n = int(w.first[i + 1] - w.first[i])
-                    edge = np.zeros(n + 1, np.int64)
-                    at = np.array(at)
-                    edge[at] += 1  # windows of one text start at distinct places
-                    np.add.at(edge, at + WINDOW, -1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    gone.append(int(covered.sum()))
-                    sha.append(hashlib.sha256(_joined(w, i, ~covered)).hexdigest())
+                h = window_hash(w.hash, WINDOW)
+                at = np.flatnonzero(w.doc[WINDOW - 1:] == w.doc[:len(h)])
+                at = at[_among(h[at], w.doc[at], col(part, "windows"))]
+                edge = np.zeros(len(w.hash) + 1, np.int64)
+                edge[at] += 1
+                edge[at + WINDOW] -= 1
+                covered = np.cumsum(edge[:-1]) > 0
+                gone = np.bincount(w.doc[covered], minlength=w.n)
+                sha = [hashlib.sha256(_joined(w, i, ~covered[w.first[i]:w.first[i + 1]])).hexdigest() for i in range(w.n)]
                 yield pa.RecordBatch.from_arrays([col(part, "dg"), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["dg", "gone", "new_sha"])
 
-    return texts.select("dg", "text", "places").mapInArrow(run, "dg binary, gone long, new_sha string")
+    return texts.select("dg", "text", "windows").mapInArrow(run, "dg binary, gone long, new_sha string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -189,19 +194,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # one row for each distinct text that can have a window; its first copy stands for all
     texts = told.filter(F.col("n_words") >= WINDOW).groupBy("dg").agg(F.min(order).alias("first"), F.first("symbols").alias("symbols"))
     texts = materialise(texts, "recompression-texts")
-    symbols = texts.select("dg", "first", F.explode("symbols").alias("symbol"))
+    # (first, tid) names a text: only texts of one id could have tids that agree by chance
+    symbols = texts.select(F.xxhash64("dg").alias("tid"), "first", F.explode("symbols").alias("symbol"))
     shared = symbols.groupBy("symbol").agg(F.min("first").alias("a"), F.max("first").alias("z")).filter("a < z").select("symbol")
-    marked = symbols.join(shared, "symbol").groupBy("dg").agg(F.min("first").alias("first"), F.collect_set("symbol").alias("shared"))
-    source = rows.filter(F.length("text") >= 2 * WINDOW - 1)
+    marked = symbols.join(shared, "symbol").groupBy("first", "tid").agg(F.collect_set("symbol").alias("shared"))
     # both keys, so that copies of one text don't meet in one task
-    marked = marked.withColumnRenamed("dg", "mdg")
-    again = source.withColumn("order", order).join(marked, (F.col("dg") == F.col("mdg")) & (F.col("order") == F.col("first")))
-    again = again.dropDuplicates(["dg", "order"]).select("dg", "first", "text", "shared")
+    source = rows.filter(F.length("text") >= 2 * WINDOW - 1).select(order.alias("first"), F.xxhash64("dg").alias("tid"), "dg", "text")
+    again = source.join(marked, ["first", "tid"]).dropDuplicates(["first", "tid"])
     again = materialise(again, "recompression-texts-again")
     windows = materialise(_windows(again), "recompression-windows")
     least = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("window", "least")
-    places = windows.join(least, "window").filter(F.col("least") < F.col("first")).groupBy("dg").agg(F.collect_set("at").alias("places"))
-    gone = _removed(again.join(places, "dg"))
+    places = windows.join(least, "window").filter(F.col("least") < F.col("first")).groupBy("first", "tid").agg(F.collect_set("window").alias("windows"))
+    gone = _removed(again.join(places, ["first", "tid"]))
     firsts = texts.select(F.col("dg").alias("tdg"), "first")
     firsts = materialise(firsts.join(gone, F.col("dg") == F.col("tdg"), "left").drop("dg"), "recompression-removed")
     out = told.drop("symbols").join(firsts, F.col("dg") == F.col("tdg"), "left")
