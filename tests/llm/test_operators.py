@@ -54,6 +54,16 @@ def test_near_duplicate_classes(corpus, monkeypatch):
     assert border or collections.Counter((r["doc_id"], r["class_id"]) for r in got) == want
 
 
+def test_revision_chains_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "COMMON", 1.0)  # all idf are 1
+    monkeypatch.setattr(near_dedup, "ROWS", 0)  # all texts meet in every bucket
+    # 8 chains of 12 revisions, each 100 shingles that move on by 10: only neighbours are similar (90 / 110)
+    rows = [(100 * c + k, " ".join(f"c{c}w{j}" for j in range(10 * k, 10 * k + 104))) for c in range(8) for k in range(12)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {d: d // 100 * 100 for d, _ in rows}
+    assert "n_links" not in got[0].asDict()  # pairs within a component aren't all compared
+
+
 def test_sampling_estimates_weighted_jaccard():
     h = near_dedup._table(9, 300)
     a, b = near_dedup.weights(h[:200], np.ones(200), (h[:0], np.zeros(0))), near_dedup.weights(h[50:250], np.full(200, 2), (h[:0], np.zeros(0)))
