@@ -64,6 +64,18 @@ def test_revision_chains_stay_whole(spark, monkeypatch):
     assert "n_links" not in got[0].asDict()  # pairs within a component aren't all compared
 
 
+def test_near_copies_of_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROWS", 0)  # all texts meet in every bucket
+    base = [f"w{j}" for j in range(104)]  # 100 shingles
+    near = {1000 + k: base[:104 - k] + [f"n{k}x{j}" for j in range(k)] for k in (9, 10)}  # k of them replaced
+    rows = [(d, " ".join(base)) for d in range(100)] + [(d, " ".join(w)) for d, w in near.items()] + [(d, " ".join(f"o{d}x{j}" for j in range(20))) for d in range(2000, 2198)]
+    idf = 0.8 + 0.2 * math.log(300 / 102) / math.log(1 / near_dedup.COMMON)  # of shingles in the copies and in both near ones
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d in near:  # true similarities of about 0.80 and 0.82
+        k = d - 1000
+        assert 0.8 <= (100 - k) * idf / (100 * idf + k) < 0.83 and got[d] == 0
+
+
 def test_sampling_estimates_weighted_jaccard():
     h = near_dedup._table(9, 300)
     a, b = near_dedup.weights(h[:200], np.ones(200), (h[:0], np.zeros(0))), near_dedup.weights(h[50:250], np.full(200, 2), (h[:0], np.zeros(0)))
