@@ -350,6 +350,22 @@ def test_toxicity(spark):
     assert got[1000]["score"] == got[1001]["score"] < 0.5 and got[1002]["score"] > got[1003]["score"]
 
 
+def test_lexicon_holds_every_telling_word(spark):
+    import random
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(n))
+    plain, abuse = [word(3) for _ in range(150)], sorted({word(4) for _ in range(90)})
+    rows, labels = [], []
+    for i in range(len(abuse) * 40):
+        words = [rng.choice(plain) for _ in range(30)]
+        if i % 4 == 0:  # each of the words is in 10 toxic texts
+            words[rng.randrange(30)] = abuse[i // 4 % len(abuse)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    got = toxicity.held_out_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
+    assert np.mean([r["predicted"] for r in got if r["doc_id"] % 4 == 0]) > 0.95 and np.mean([r["predicted"] for r in got if r["doc_id"] % 4]) < 0.05
+
+
 # --- substring dedup -------------------------------------------------------------------------
 def test_recompression(corpus):
     rows = [(1 << 62 if d is None else d, SPLIT(t or "")) for d, t in texts(corpus)]

@@ -1,7 +1,9 @@
 """Toxicity scores from a lexicon trie intersected with Levenshtein automata.
 
 The lexicon is learned: words, and stems (beginnings of words), that occur far oftener in texts
-labelled toxic than in others, with the log ratio of their rates as weights.  Its trie is
+labelled toxic than in others, with the log ratio of their rates as weights; every term counts whose
+presence in toxic texts is significant at a false discovery rate of FALSE, however many (near copies
+of a text are one piece of evidence, unless no term is significant so).  Its trie is
 intersected with Levenshtein automata (words of 5 letters or more may have one error, of 9 or more
 two; stems none) by subset construction into one table of states and byte classes, so that all
 words of a text run through it side by side, one byte a step, and most die after a few.  Capitals,
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import lgamma
 from typing import NamedTuple
 
 import numpy as np
@@ -30,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, crc_mod, pieces, ship, text_bytes
+from .common import U, Words, col, crc_mod, materialise, mix, pieces, ship, text_bytes, window_hash
 
-SAMPLE, TERMS, CONTEXT, QUOTED, ERROR = 12_000, 48, 4, 0.25, 0.7
+SAMPLE, FALSE, CONTEXT, QUOTED, ERROR = 12_000, 0.01, 4, 0.25, 0.7
 STEM = range(4, 9)
 #: Letters that digits and signs stand for, and words that report speech.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -221,6 +224,21 @@ def _terms(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in STEM if len(word) > k)] if len(word) >= 4 else [word]
 
 
+def _passages(rows: DataFrame) -> DataFrame:
+    """text, toxic and the least hash of the text's five-word passages (of all its words, if there are fewer)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                w = Words(col(part, "text"))
+                key = np.zeros(part.num_rows, U)
+                for i, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist())):
+                    if b > a:
+                        key[i] = mix(window_hash(w.hash[a:b], min(5, b - a))).min()
+                yield pa.RecordBatch.from_arrays([col(part, "text"), col(part, "toxic"), pa.array(key.view(np.int64))], ["text", "toxic", "key"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "text string, toxic int, key long")
+
+
 def _counted(texts: DataFrame, wanted: frozenset | None) -> DataFrame:
     """term, docs, n: how many texts of a task hold a term, and how often."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +261,13 @@ def _counted(texts: DataFrame, wanted: frozenset | None) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """The chance of k or more of n at p each."""
+    i = np.arange(k, n + 1)
+    logs = np.array([lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) for j in i.tolist()]) + i * np.log(p) + (n - i) * np.log1p(-p)
+    return float(min(1.0, np.exp(logs).sum()))
+
+
 class Model(NamedTuple):
     matcher: Matcher
     beta: np.ndarray
@@ -258,6 +283,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
+def _telling(rows: DataFrame) -> list[tuple[float, str, float]]:
+    """(score, term, log ratio of its rates) of all terms that are significantly oftener in toxic texts."""
+    sizes = {int(r["toxic"]): (r["docs"], r["words"] or 0) for r in rows.groupBy("toxic").agg(F.count("*").alias("docs"), F.sum(F.regexp_count("text", F.lit(r"[^\s]+"))).alias("words")).collect()}
+    share = sizes[1][0] / (sizes[1][0] + sizes[0][0])
+    seen = _counted(rows.filter("toxic = 1"), None)
+    n_terms = seen.count()
+    # what couldn't be significant even if no other text had it needn't be counted there
+    bad = seen.filter(F.col("docs") * float(np.log(share)) <= float(np.log(FALSE))).toPandas()
+    good = {t: (d, n) for t, d, n in _counted(rows.filter("toxic = 0"), frozenset(bad["term"])).toPandas().itertuples(index=False)}
+    chance = {t: binomial_tail(d, d + good.get(t, (0, 0))[0], share) for t, d in zip(bad["term"], bad["docs"])}
+    limit = max((p for i, p in enumerate(sorted(chance.values()), 1) if p <= FALSE * i / n_terms), default=-1.0)
+    found = []
+    for term, in_docs, k in bad.itertuples(index=False):
+        ratio = np.log(((k + 0.5) / max(sizes[1][1], 1)) / ((good.get(term, (0, 0))[1] + 0.5) / max(sizes[0][1], 1)))
+        if ratio > 1.5 and chance[term] <= limit:
+            found.append((in_docs * ratio, term, float(ratio)))
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, sample: int = SAMPLE) -> Model:
     ship(docs.sparkSession)
     given = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -269,22 +313,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, sample: in
     given = given.filter(draw < int(min(1.0, sample / max(n, 1)) * (1 << 40))).toPandas()
     spark = docs.sparkSession
     given = spark.createDataFrame([(int(a), int(b)) for a, b in given.itertuples(index=False)], "id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(given), F.col("doc_id") == F.col("id"))
-    sizes = {int(r["toxic"]): (r["docs"], r["words"]) for r in rows.groupBy("toxic").agg(F.count("*").alias("docs"), F.sum(F.regexp_count("text", F.lit(r"[^\s]+"))).alias("words")).collect()}
-    if set(sizes) != {0, 1}:
-        return Model(matcher({}, {}), np.array([30.0 if 1 in sizes else -30.0, 0, 0, 0]))
-    bad = _counted(rows.filter("toxic = 1"), None).filter(F.col("docs") >= max(5, sizes[1][0] // 200)).toPandas()
-    good = _counted(rows.filter("toxic = 0"), frozenset(bad["term"])).toPandas().set_index("term")["n"].to_dict()
-    found = []
-    for term, in_docs, k in bad.itertuples(index=False):
-        ratio = np.log(((k + 0.5) / sizes[1][1]) / ((good.get(term, 0) + 0.5) / sizes[0][1]))
-        if ratio > 1.5:
-            found.append((in_docs * ratio, term, float(ratio)))
-    # the most telling first; a term within a kept stem, or a stem of the like of a kept word, adds nothing
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(given), F.col("doc_id") == F.col("id")), "toxicity-sample")
+    if {int(r["toxic"]) for r in rows.select("toxic").distinct().collect()} != {0, 1}:
+        return Model(matcher({}, {}), np.array([30.0 if rows.filter("toxic = 1").limit(1).count() else -30.0, 0, 0, 0]))
+    # copies and near copies are no further evidence: of texts with the same least passage one counts, unless that leaves no evidence
+    found = _telling(_passages(rows).groupBy("toxic", "key").agg(F.min("text").alias("text"))) or _telling(rows)
+    # the most telling first; a term within a kept stem, or a stem of kept stems or words, adds nothing
     words, stems = {}, {}
     for _, term, ratio in sorted(found, key=lambda f: (-f[0], f[1].startswith("^"), len(f[1]), f[1])):
         plain = term.lstrip("^")
-        if len(words) + len(stems) >= TERMS or any(plain.startswith(s) for s in stems) or any(w.startswith(plain) or plain.startswith(w) for w in words) or any(s.startswith(plain) for s in stems):
+        if any(plain.startswith(s) for s in stems) or (term != plain and any(x.startswith(plain) for x in (*words, *stems))):
             continue
         (stems if term.startswith("^") else words)[plain] = ratio
     m = matcher(words, stems)
