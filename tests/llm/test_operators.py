@@ -191,6 +191,24 @@ def test_outliers_go(spark):
     assert not any(got[i] for i in range(0, 500, 50)) and np.mean([got[i] for i in range(500) if i % 50]) > 0.98
 
 
+def test_each_statistic_tells_outliers(spark):
+    import random
+    rng = random.Random(4)
+    spoil = [
+        lambda w: [x * 4 for x in w],  # long words
+        lambda w: [x + "$" * (i % 2) for i, x in enumerate(w)],  # symbols
+        lambda w: w + [f"\n{w[0]}", f"\n{w[0]}", f"\n{w[0]}", "\nend"],  # two of five lines repeat, few words
+        lambda w: w[:48] + w[:16],  # half of the words in repeated windows
+        lambda w: [x.upper() for x in w],  # capitals
+    ]
+    rows = []
+    for i in range(1000):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(80)]
+        rows.append((i, " ".join(spoil[i // 100 % 5](words) if i % 100 == 0 else words), "en", "s"))
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in range(0, 1000, 100)) and np.mean([got[i] for i in range(1000) if i % 100]) > 0.98
+
+
 # --- secrets ---------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 

@@ -5,7 +5,7 @@ rules become vectors of transformed statistics (VECTOR), and for every language
 minimum-covariance-determinant estimate is found by concentration steps: with the present centre
 and scatter all distances are taken, the h = 3/4 of the group with the least distances gives the
 next centre and scatter, whose determinant can't be larger.  A text is rejected if its squared
-Mahalanobis distance is over CUTOFF.
+Mahalanobis distance is over CUTOFF, the chi-square quantile at QUANTILE.
 
 Every step is one aggregation over all rows of all groups: rows are binned by distance, and each
 (group, bin) gets its count and the sums of values and products, in fixed-point integers, which are
@@ -13,8 +13,9 @@ exact whatever the order.  The bins of a group, a bounded number, then give the
 group is ever gathered or sorted.
 
 Groups of under LEAST texts are pooled by language, and pools of under LEAST by one rest pool; a
-rest pool of under LEAST rejects nothing.  FLOOR is added to each standard deviation, as most clean
-texts have no symbols or repeated lines at all and would make the scatter singular.
+rest pool of under LEAST rejects nothing.  Directions in which a group spreads less than FLOOR are widened
+to it, and no others, as most clean texts have no symbols or repeated lines at all and would make
+the scatter singular.
 
 Edge cases: a null text has no words and fails the base rules; null language and source are values
 of their own; repeated rows count as often as they occur; columns with other names don't matter;
@@ -35,8 +36,8 @@ from .common import _BYTE, Words, U, col, materialise, mix, pieces, powers, ship
 #: mean word length (log), then roots of: symbols a word, repeated lines a line, repeated words a
 #: word, capitals a letter.
 VECTOR = ("word_length", "symbols", "dup_lines", "repeats", "capitals")
-FLOOR = (0.06, 0.08, 0.16, 0.16, 0.05)
-LEAST, STEPS, H, CUTOFF = 200, 6, 0.75, 36.0
+FLOOR = (0.06, 0.08, 0.1, 0.1, 0.05)
+LEAST, STEPS, H, QUANTILE = 200, 6, 0.75, 0.999
 #: Fixed-point scale of the vectors, and bins a unit of ln(1 + squared distance).
 SCALE, BINS = 4096, 64
 MOST_BROADCAST = 10_000
@@ -147,7 +148,7 @@ def _start(bins: pd.DataFrame) -> pd.DataFrame:
 
         mu[i] = median(v, n)
         sd[i] = 1.4826 * median(np.abs(v - mu[i]), n)
-    prec = np.diag(1 / (sd ** 2 + np.array(FLOOR) ** 2))
+    prec = np.diag(1 / np.maximum(sd, FLOOR) ** 2)
     return pd.DataFrame({"g": [bins["g"].iloc[0]], "mu": [mu.tolist()], "prec": [prec.reshape(-1).tolist()]})
 
 
@@ -165,7 +166,9 @@ def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
         for j in range(i, p):
             cov[i, j] = cov[j, i] = sum(map(int, part[f"s{i}_{j}"])) / SCALE ** 2 / n - mu[i] * mu[j]
     # consistency: the scatter of the inner h is too small by a factor that depends on h and p alone
-    cov = cov * _consistency(H, p) + np.diag(np.array(FLOOR) ** 2)
+    scale = np.outer(FLOOR, FLOOR)
+    wide, axes = np.linalg.eigh(cov * _consistency(H, p) / scale)
+    cov = axes * np.maximum(wide, 1) @ axes.T * scale
     return pd.DataFrame({"g": [bins["g"].iloc[0]], "mu": [mu.tolist()], "prec": [np.linalg.inv(cov).reshape(-1).tolist()]})
 
 
@@ -181,12 +184,19 @@ def _chi2_cdf(x: float, k: int) -> float:
     return total * exp(-y + a * log(y) - lgamma(a)) if y > 0 else 0.0
 
 
-def _consistency(h: float, p: int) -> float:
+def _chi2_quantile(h: float, p: int) -> float:
     lo, hi = 0.0, 100.0
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _chi2_cdf(mid, p) < h else (lo, mid)
-    return h / _chi2_cdf(lo, p + 2)
+    return lo
+
+
+def _consistency(h: float, p: int) -> float:
+    return h / _chi2_cdf(_chi2_quantile(h, p), p + 2)
+
+
+CUTOFF = _chi2_quantile(QUANTILE, len(VECTOR))
 
 
 def _distance():
