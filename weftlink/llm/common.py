@@ -1,13 +1,15 @@
 """What the training-data operators share: shared-folder tables, word hashing, row ranges."""
 from __future__ import annotations
 
-import atexit
+import ctypes
+import gc
+import hashlib
 import os
 import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +21,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
 #: Texts are hashed in pieces of about so many bytes, which bounds numpy's temporaries.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 U = np.uint64
 
 
 # --- tables in the shared folder -------------------------------------------------------------
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one of this machine,
+    which only a local master (as in tests) may use."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = getattr(spark, "_weft_shared", None) or tempfile.mkdtemp(prefix="weft-")
         spark._weft_shared = path
     return path.rstrip("/")
@@ -36,20 +42,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here, and an executor's
-    loss costs nothing that was finished.  The files go when the application ends."""
+    loss costs nothing that was finished.  The files go when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), after which a task's Python worker, which goes on to other tasks,
+    gives its free memory back."""
+    ship(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
         pass
 
 
@@ -72,6 +94,14 @@ def ship(spark: SparkSession) -> None:
     sc._weft_shipped = True
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have: the given one, with underscores before it if need be."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(col: str, m: int):
     """crc32 of an id as text, mod m; -1 for a null id, which so belongs to no held-out part."""
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(m)), F.lit(-1))
@@ -94,23 +124,59 @@ def _table(seed: int, n: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15)) + U(seed))
 
 
-_BYTE = _table(11, 256)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _R = U(0x9E3779B97F4A7C15)
-_pow = np.ones(1, U)
-
-
-def powers(n: int) -> np.ndarray:
-    global _pow
-    if len(_pow) < n:
-        grown = np.full(max(n, 1024), _R, U)
-        grown[0] = 1
-        _pow = np.multiply.accumulate(grown)
-    return _pow
+#: The bytes of a uint64 that belong to a range of 0 to 8 bytes.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: Longer ranges than this are hashed one by one.
+_LONG = 512
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range: eight at a time, mixed after every step, so that no
+    pattern of bytes cancels out."""
+    size = end - start
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded, strides=(1,))
+    h = mix((eight[start] & _KEPT[np.minimum(size, 8)]) + size.astype(U) * _R)
+    at = 8
+    live = np.flatnonzero((size > 8) & (size <= _LONG))
+    while len(live):
+        h[live] = mix((h[live] ^ (eight[start[live] + at] & _KEPT[np.minimum(size[live] - at, 8)])) * _R)
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k]:end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def exact_groups(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of ranges by hash, made groups of equal bytes: those that differ from the first of their
+    group, whose hash they share by chance, get groups of their own."""
+    size, lead = end - start, first[group]
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded, strides=(1,))
+    differ = size != size[lead]
+    at, live = 0, np.flatnonzero(~differ & (lead != np.arange(len(size))))
+    while len(live):
+        kept = _KEPT[np.minimum(size[live] - at, 8)]
+        differ[live] = ((eight[start[live] + at] ^ eight[start[lead[live]] + at]) & kept) != 0
+        at += 8
+        live = live[~differ[live] & (size[live] > at)]
+    if differ.any():
+        others: dict[bytes, int] = {}
+        first, group = first.tolist(), group.copy()
+        for k in np.flatnonzero(differ).tolist():
+            raw = data[start[k]:end[k]].tobytes()
+            if raw not in others:
+                others[raw] = len(first)
+                first.append(k)
+            group[k] = others[raw]
+        first = np.array(first)
+    return first, group
 
 
 class Words:
@@ -133,13 +199,7 @@ class Words:
             cut = inner[inner > 0] - 1
             last[cut] = word[cut]
             self.end = np.flatnonzero(last) + 1
-            pos = np.arange(len(data))
-            pos[self.start[0]:] -= np.repeat(self.start, np.diff(np.append(self.start, len(data))))
-            value = (_BYTE_LOWER if lower else _BYTE)[data]
-            value[~word] = 0
-            pos[~word] = 0
-            value *= powers(int(pos.max()) + 1)[pos]
-            self.hash = mix(np.add.reduceat(value, self.start) + (self.end - self.start).astype(U))
+            self.hash = range_hash(_LOWER[data] if lower else data, self.start, self.end)
         else:
             self.end = self.start
             self.hash = np.zeros(0, U)
@@ -164,14 +224,26 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k consecutive values; the result has k - 1 fewer."""
+    """A hash of every k consecutive values; the result has k - 1 fewer.  Eight values at a time make
+    a block by Horner's rule, and so do the blocks, mixed in between."""
     if len(h) < k:
         return np.zeros(0, U)
-    out = np.zeros(len(h) - k + 1, U)
-    for j in range(k):  # Horner's rule, vectorised over the positions
-        out *= _R
-        out += h[j:j + len(out)]
-    return mix(out)
+
+    def horner(values: np.ndarray, terms: int, step: int, n: int) -> np.ndarray:
+        out = values[:n].copy()
+        for j in range(1, terms):
+            out *= _R
+            out += values[j * step:j * step + n]
+        return mix(out)
+
+    if k <= 8:
+        return horner(h, k, 1, len(h) - k + 1)
+    n = len(h) - k + 1
+    whole, rest = divmod(k, 8)
+    out = horner(horner(h, 8, 1, len(h) - 7), whole, 8, n)
+    if rest:
+        out = mix(out * _R + horner(h[8 * whole:], rest, 1, n))
+    return out
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE) -> Iterator[pa.RecordBatch]:

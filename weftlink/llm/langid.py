@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, crc_mod, pieces, ship, text_bytes
+from .common import col, crc_mod, pieces, mapped, text_bytes
 
 SAMPLE, HIDDEN, WINDOW, STEPS, BATCH, SEED = 3000, 8, 96, 260, 96, 7
 Weights = dict[str, np.ndarray]
@@ -194,11 +194,11 @@ def _letters(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def predicted(docs: DataFrame, model: tuple[list[str], Weights]) -> DataFrame:
-    """All columns of docs with lang_pred and score."""
-    ship(docs.sparkSession)
+def predicted(docs: DataFrame, model: tuple[list[str], Weights], names_of: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs with the predicted language and its score, named as names_of says; columns
+    of docs with these names are replaced, so a caller who keeps them gives other names."""
     names, weights = model
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,10 +212,10 @@ def predicted(docs: DataFrame, model: tuple[list[str], Weights]) -> DataFrame:
                     letters = _letters(texts)
                     score = np.where(letters, probs[np.arange(len(best)), best] / np.maximum(np.diff(off), 1), 0).clip(0, 1)
                     label = [names[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, *names_of])
 
-    schema = docs.limit(0).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    return docs.mapInArrow(run, schema)
+    schema = docs.limit(0).withColumns({names_of[0]: F.lit("").cast("string"), names_of[1]: F.lit(0.0)}).schema
+    return mapped(docs, run, schema)
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:

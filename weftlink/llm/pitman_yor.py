@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, _table, col, crc_mod, materialise, mix, pieces, ship
+from .common import U, Words, _table, col, crc_mod, materialise, mix, pieces, mapped
 
 CLASSES, FINE = 64, 64
 CONTEXTS = CLASSES * FINE
@@ -111,7 +111,7 @@ def _hot_words(rows: DataFrame) -> tuple[np.ndarray, int]:
             hit = n >= max(2, len(name) / (2 * HOT_SHARE))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(value[hit].view(np.int64), 0)), pa.array(np.append(n[hit], 0)), pa.array(np.append(np.zeros(hit.sum(), np.int64), len(name)))], ["name", "n", "total"])
 
-    found = materialise(rows.mapInArrow(run, "name long, n long, total long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "py-hot")
+    found = materialise(mapped(rows, run, "name long, n long, total long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "py-hot")
     total = int(found.agg(F.sum("total")).first()[0] or 0)
     hot = found.filter(F.col("n") >= max(2.0, total / HOT_SHARE)).select("name").toPandas()["name"].to_numpy(np.int64).view(U)
     return np.sort(hot), total
@@ -143,7 +143,7 @@ def _blocks(rows: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
                 blocks.append(np.array([base, len(value), b - a], np.int64).tobytes() + value.tobytes() + n.astype(np.uint32).tobytes() + context[a:b].tobytes() + doc[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
-    return rows.mapInArrow(run, "bucket long, block binary")
+    return mapped(rows, run, "bucket long, block binary")
 
 
 class Dishes:
@@ -315,7 +315,7 @@ def _totals(dealt: DataFrame, history: list[np.ndarray], hot: Dishes) -> np.ndar
         pass
     s.add_to(out)
     out = out.numbers()
-    for k, x in dealt.mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+    for k, x in mapped(dealt, run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
         out[k] += x
     return out
 
@@ -376,13 +376,12 @@ def _dealt_scores(dealt: DataFrame, history: list[np.ndarray], last: np.ndarray)
                 at = np.flatnonzero(x[3])
                 yield pa.RecordBatch.from_arrays([pa.array(at + chunk), *(pa.array(x[k, at]) for k in range(4))], ["place", "p", "b", "known", "n"])
 
-    parts = dealt.mapInArrow(run, "chunk long, part binary").groupBy("chunk").agg(F.collect_list("part").alias("parts"))
-    return parts.mapInArrow(summed, "place long, p double, b double, known double, n double")
+    parts = mapped(dealt, run, "chunk long, part binary").groupBy("chunk").agg(F.collect_list("part").alias("parts"))
+    return mapped(parts, summed, "place long, p double, b double, known double, n double")
 
 
 def scored(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """The columns of op7."""
-    ship(docs.sparkSession)
     rows = docs.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "text")
     hot, total = _hot_words(rows)
     bits = max(4, int(np.ceil(np.log2(max(total, 1) / BUCKET))))
@@ -396,7 +395,7 @@ def scored(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["k", "n"])
 
-    found = rows.mapInArrow(hot_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
+    found = mapped(rows, hot_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
     k = found["k"].to_numpy(np.int64)
     hot_dishes = Dishes(k // CONTEXTS, k % CONTEXTS, found["n"].to_numpy(np.int64), len(hot))
     dealt = materialise(_blocks(rows, hot, bits).groupBy("bucket").agg(F.collect_list("block").alias("blocks")), "py-dealt")
@@ -424,7 +423,7 @@ def scored(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(~train), pa.array(base + np.arange(n)), pa.array(np.bincount(doc, minlength=n)), *map(pa.array, x)], ["doc_id", "held_out", "place", "n_tokens", "hp", "hb", "hk", "hn"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(finish, f"doc_id {kind}, held_out boolean, place long, n_tokens long, hp double, hb double, hk double, hn double")
+    out = mapped(rows, finish, f"doc_id {kind}, held_out boolean, place long, n_tokens long, hp double, hb double, hk double, hn double")
     sums = _dealt_scores(dealt, history, last).withColumnRenamed("place", "at")
     out = out.join(sums, F.col("place") == F.col("at"), "left")
 

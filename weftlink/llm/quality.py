@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Words, U, col, materialise, mix, pieces, powers, ship, window_hash
+from .common import U, Words, col, mapped, materialise, mix, pieces, range_hash, window_hash
 
 #: mean word length (log), then roots of: symbols a word, repeated lines a line, repeated words a
 #: word, capitals a letter.
@@ -64,10 +64,8 @@ def _dup_lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
     feed = data == 10
     start = np.union1d(off[:-1][off[:-1] < len(data)], np.flatnonzero(feed) + 1)
     start = start[start < len(data)]
-    pos = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
-    value = _BYTE[data] * powers(int(pos.max()) + 1)[pos]
-    value[feed] = 0
-    h = np.add.reduceat(value, start) + np.add.reduceat((~feed).astype(U), start)
+    end = np.append(start[1:], len(data))
+    h = range_hash(data, start, np.where(feed[end - 1], end - 1, end))
     words = np.bincount(np.searchsorted(start, w.start, "right") - 1, minlength=len(start)) > 0
     doc = np.searchsorted(off, start, "right") - 1
     h, doc = h[words], doc[words]
@@ -118,7 +116,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, and the vector in fixed point as x."""
-    ship(docs.sparkSession)
     names = ["doc_id", "lang", "source", *COUNTS, "base_failed", "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +129,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang", "source")}
     schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), *(f"{c} long" for c in COUNTS), "base_failed boolean", "x array<long>"])
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "lang", "source", "text"), run, schema)
 
 
 def _start(bins: pd.DataFrame) -> pd.DataFrame:

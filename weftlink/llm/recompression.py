@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, col, materialise, mix, pieces, ship, window_hash
+from .common import U, Words, col, materialise, mix, pieces, mapped, window_hash
 
 WINDOW, SPAN, LENGTH, REACH = 50, 12, 24, 13
 _LAST = (1 << 63) - 1
@@ -129,7 +129,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(_joined(w, i)).hexdigest() for i in range(w.n)]
                 yield pa.RecordBatch.from_arrays([col(part, "dg"), col(part, "doc_id"), pa.array(np.diff(w.first), pa.int64()), pa.array(sha, pa.string()), _lists(symbol[once].view(np.int64), w.doc[at[once]], w.n)], ["dg", "doc_id", "n_words", "sha", "symbols"])
 
-    return docs.mapInArrow(run, "dg binary, doc_id long, n_words long, sha string, symbols array<long>")
+    return mapped(docs, run, "dg binary, doc_id long, n_words long, sha string, symbols array<long>")
 
 
 def _windows(texts: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def _windows(texts: DataFrame) -> DataFrame:
                 h, own = h[once], pa.array(own[once])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), col(part, "first").take(own), col(part, "tid").take(own)], ["window", "first", "tid"])
 
-    return texts.select("first", "tid", "text", "shared").mapInArrow(run, "window long, first long, tid long")
+    return mapped(texts.select("first", "tid", "text", "shared"), run, "window long, first long, tid long")
 
 
 def _among(values: np.ndarray, owner: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -181,13 +181,12 @@ def _removed(texts: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(_joined(w, i, ~covered[w.first[i]:w.first[i + 1]])).hexdigest() for i in range(w.n)]
                 yield pa.RecordBatch.from_arrays([col(part, "dg"), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["dg", "gone", "new_sha"])
 
-    return texts.select("dg", "text", "windows").mapInArrow(run, "dg binary, gone long, new_sha string")
+    return mapped(texts.select("dg", "text", "windows"), run, "dg binary, gone long, new_sha string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     spark = docs.sparkSession
-    ship(spark)
     rows = docs.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("dg"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = materialise(_described(rows), "recompression-symbols")
     order = F.coalesce("doc_id", F.lit(_LAST))

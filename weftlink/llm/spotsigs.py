@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, U, Words, col, materialise, mix, pieces, ship, text_bytes
+from .common import PIECE, U, Words, col, materialise, mix, pieces, mapped, text_bytes
 
 CHAIN = 2
 #: Common words of English, German, French and Spanish.
@@ -125,7 +125,6 @@ def fingerprint_text(s: np.ndarray) -> str:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, signatures array<long>, ascending."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +132,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 rows = [s.astype(np.int64) for s in signatures(col(part, "text"))]
                 yield pa.RecordBatch.from_arrays([col(part, "doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "signatures"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, signatures array<long>")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, signatures array<long>")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +168,7 @@ def _range_starts(docs: DataFrame) -> np.ndarray:
         if least is not None:
             yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64())], ["id"])
 
-    return np.unique(ids.mapInArrow(run, "id long").toPandas()["id"].to_numpy(np.int64))
+    return np.unique(mapped(ids, run, "id long").toPandas()["id"].to_numpy(np.int64))
 
 
 def _placed(docs: DataFrame, starts: np.ndarray) -> DataFrame:
@@ -186,12 +185,11 @@ def _placed(docs: DataFrame, starts: np.ndarray) -> DataFrame:
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(after), pa.array(ids[rows], pa.int64()), doc_id.take(take), col(batch, "text").take(take)], ["range", "next", "id", "doc_id", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "range long, next boolean, id long, doc_id long, text string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "range long, next boolean, id long, doc_id long, text string")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """The columns of op6."""
-    ship(docs.sparkSession)
     starts = _range_starts(docs)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -233,4 +231,4 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             yield told(held)
 
     placed = _placed(docs, starts).repartition("range").sortWithinPartitions("range", "next", "id", "text")
-    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return mapped(placed, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
