@@ -7,11 +7,14 @@ lists: the least rank is looked for again and again (the leftmost of equals), th
 its part is deleted and the two ranks beside it are refreshed.  Words of over LONG parts use a heap
 over the same ranks, with the same result in n log n.
 
-What stands between white space recurs, so each Python worker keeps the pieces of at most CACHE such
-chunks and words, whatever task they came from; when it is full it starts anew.  The work is one pass over the rows without a shuffle.
+What stands between white space recurs, so each Python worker keeps the ids of chunks seen before,
+whatever task they came from; when these take CACHE bytes, it starts anew.  The work is one pass over
+the rows without a shuffle.
 
 Edge cases: a null text is empty; an empty one has no ids and decodes to ''; special tokens in a
-text are special tokens, as in the library; repeated rows and extra columns don't matter.
+text are special tokens, as in the library; a very long text is encoded whole, alone; of equal ranks
+the leftmost is merged, as in the library; repeated rows and extra columns don't matter; an empty
+table gives an empty one.
 """
 from __future__ import annotations
 
@@ -27,11 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Words, col, pieces, ship
+from .common import Words, col, exact_groups, mapped, pieces
 
 #: Where a vocabulary is read from; a parameter of every function here.
 VOCABULARY = "word_bpe_49k.json"
-CACHE, LONG = 600_000, 100
+CACHE, LONG = 32 << 20, 100
+#: Bytes that an entry of the cache takes besides its chunk and ids, about.
+_ENTRY = 180
 #: Rows of one rank array.
 _ROWS = 4096
 _NONE, _FAR = 1 << 60, np.iinfo(np.int32).max
@@ -146,9 +151,10 @@ class WordBPE:
         size = max(self.token) + 1
         raw = [self.token.get(i, "").encode() + b" " for i in range(size)]
         self._tokens = Ragged(np.frombuffer(b"".join(raw), np.uint8), [len(r) for r in raw])
-        #: Chunks seen so far by their hash, and their ids.
-        self.index: dict[int, int] = {}
+        #: Chunks seen so far, their ids, and the bytes that both take.
+        self.index: dict[bytes, int] = {}
         self.known = Ragged()
+        self.held = 0
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -238,25 +244,25 @@ class WordBPE:
         return ids.join(np.fromiter(map(len, split), np.int64, len(split)))
 
     def encode_arrow(self, texts: pa.Array) -> Ragged:
-        """The ids of each text."""
+        """The ids of each text.  Chunks are told apart by their bytes: a hash only sorts them."""
         words = Words(texts)
         seen, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
-        index = self.index
-        at = [index.get(h, -1) for h in seen.tolist()]
-        if -1 in at:
-            if len(index) + len(at) > CACHE:
-                index.clear()
-                self.known = Ragged()
-                at = [-1] * len(at)
-            at = np.array(at)
-            new = np.flatnonzero(at < 0)
-            raw = words.data.tobytes()
-            spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())
+        first, place = exact_groups(words.data, words.start, words.end, first, place.reshape(-1))
+        raw = words.data.tobytes()
+        chunks = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
+        at = np.array([self.index.get(c, -1) for c in chunks], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if self.held > CACHE:
+                self.index, self.known, self.held = {}, Ragged(), 0
+                new = np.arange(len(at))
             at[new] = np.arange(len(new)) + len(self.known)
-            self.known = self.known.plus(self.pieces_of([raw[a:b].decode() for a, b in spans]))
-            index.update(zip(seen[new].tolist(), at[new].tolist()))
-        ids = self.known.take(np.asarray(at, np.int64)[place.reshape(-1)])
-        return ids.join(np.diff(words.first))
+            fresh = [chunks[k] for k in new.tolist()]
+            ids = self.pieces_of([c.decode() for c in fresh])
+            self.known = self.known.plus(ids)
+            self.index.update(zip(fresh, at[new].tolist()))
+            self.held += sum(map(len, fresh)) + _ENTRY * len(fresh) + 4 * len(ids.flat)
+        return self.known.take(at[place]).join(np.diff(words.first))
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, get = len(ids), self.rank.get
@@ -323,7 +329,6 @@ def load(name: str = VOCABULARY) -> WordBPE:
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids array<int>."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
@@ -333,12 +338,11 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 rows = pa.ListArray.from_arrays(np.append(0, np.cumsum(ids.count)).astype(np.int32), pa.array(ids.flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([col(part, "doc_id"), rows], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def token_digest(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the carried columns, n_tokens, ids_sha256, decoded_sha256."""
-    ship(docs.sparkSession)
     kept = ["doc_id", *carry]
     names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
 
@@ -355,4 +359,4 @@ def token_digest(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str
                 yield pa.RecordBatch.from_arrays([*(col(part, c) for c in kept), pa.array(ids.count, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())], names)
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select(*kept, "text"), run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
