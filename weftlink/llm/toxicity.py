@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, col, crc_mod, materialise, mix, pieces, ship, text_bytes, window_hash
+from .common import U, Words, col, crc_mod, materialise, mix, pieces, mapped, text_bytes, window_hash
 
 SAMPLE, FALSE, CONTEXT, QUOTED, ERROR = 12_000, 0.01, 4, 0.25, 0.7
 STEM = range(4, 9)
@@ -63,7 +63,10 @@ class Tokens:
         raw, off = self.raw, self.off
         word = _ALNUM[raw]
         if len(raw) > 2:
-            word[1:-1] |= _INNER[raw[1:-1]] & word[:-2] & word[2:]
+            inside = _INNER[raw]  # between two letters of one text
+            edge = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(raw))]
+            inside[edge] = inside[edge - 1] = False
+            word[1:-1] |= inside[1:-1] & word[:-2] & word[2:]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
@@ -236,7 +239,7 @@ def _passages(rows: DataFrame) -> DataFrame:
                         key[i] = mix(window_hash(w.hash[a:b], min(5, b - a))).min()
                 yield pa.RecordBatch.from_arrays([col(part, "text"), col(part, "toxic"), pa.array(key.view(np.int64))], ["text", "toxic", "key"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "text string, toxic int, key long")
+    return mapped(rows.select("text", "toxic"), run, "text string, toxic int, key long")
 
 
 def _counted(texts: DataFrame, wanted: frozenset | None) -> DataFrame:
@@ -257,7 +260,7 @@ def _counted(texts: DataFrame, wanted: frozenset | None) -> DataFrame:
                     n.update(own)
         yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([n[x] for x in docs], pa.int64())], ["term", "docs", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "term string, docs long, n long")
+    counts = mapped(texts.select("text"), run, "term string, docs long, n long")
     return counts.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
@@ -303,7 +306,6 @@ def _telling(rows: DataFrame) -> list[tuple[float, str, float]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, sample: int = SAMPLE) -> Model:
-    ship(docs.sparkSession)
     given = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out is not None:
         given = given.filter(crc_mod("doc_id", 5) != held_out)
@@ -333,14 +335,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, sample: in
                 x = features(m, col(part, "text"))
                 yield pa.RecordBatch.from_arrays([col(part, "doc_id"), *(pa.array(x[:, k]) for k in range(1, 4)), col(part, "toxic")], ["doc_id", "a", "b", "c", "y"])
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, a double, b double, c double, y int").toPandas().sort_values(["doc_id", "a", "b", "c"])
+    got = mapped(rows.select("doc_id", "text", "toxic"), run, "doc_id long, a double, b double, c double, y int").toPandas().sort_values(["doc_id", "a", "b", "c"])
     x = np.concatenate([np.ones((len(got), 1)), got[["a", "b", "c"]].to_numpy(float)], 1)
     return Model(m, _logistic(x, got["y"].to_numpy(float)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,7 +349,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(features(model.matcher, col(part, "text")) @ model.beta, -30, 30)))
                 yield pa.RecordBatch.from_arrays([col(part, "doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
