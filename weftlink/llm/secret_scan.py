@@ -19,8 +19,10 @@ and a text's own parts are the largest group.  Texts whose cheap tests show no p
 without any shuffle.
 
 Edge cases: a null text is empty and has no spans; null or repeated ids don't matter (rows are told
-apart by position); columns are carried whatever their names, but for `_spans`, which is replaced;
-an empty table gives an empty one.
+apart by position); columns are carried whatever their names, but for `_spans`, which scan_secrets
+replaces (redacted keeps it); all patterns run in constant stack, and offsets and redaction in time
+linear in a text's length, so very long texts are texts like others; spans that start together are
+ordered by kind; an empty table gives an empty one.
 """
 from __future__ import annotations
 
@@ -31,14 +33,16 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 IDENTIFIER = r"""(?<![A-Za-z0-9_])(?:(?i:user(?:name)?|login|client_?id|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}|(?:AKIA|ASIA|AROA)[A-Z0-9]{6,})"""
-ENDPOINT = r"""(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"""
+ENDPOINT = r"""(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"""
 SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
 
 #: Kinds in the order in which ties at one start are listed, and of precedence.
 KINDS = ("assign", "access", "hex", "identifier", "endpoint", "secret")
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, IDENTIFIER, ENDPOINT, SECRET), strict=True))
 BASE = 3
-SPANS = "array<struct<start:long,kind:int,end:long>>"
+SPANS = "array<struct<start:long,kind:int,end:long,before:long>>"
+#: Code points of the pieces into which a text is cut for redaction.
+_CUT = 512
 
 
 def _suspect() -> Column:
@@ -64,8 +68,14 @@ def _found(kind: int) -> Column:
 
 
 def scan_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
-    """docs with `_spans`: array<struct<start, kind, end>> in code points, end exclusive, by start, then kind."""
+    """docs with `_spans`: array<struct<start, kind, end, before>> in code points, end exclusive, by start,
+    then kind; before is where all spans listed earlier have ended (0 for the first)."""
     docs = docs.drop("_spans")
+    return _scanned(docs, reach).select("__row.*", "_spans")
+
+
+def _scanned(docs: DataFrame, reach: int) -> DataFrame:
+    """__row, a struct of all columns of docs, and _spans."""
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(carried.alias("__row"), F.coalesce(F.col("text"), F.lit("")).alias("__t"))
     clean = rows.filter(~_suspect()).select("__row", F.array().cast(SPANS).alias("_spans"))
@@ -78,26 +88,35 @@ def scan_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).withColumn("start", F.col("end") - F.col("len"))
     rows = rows.withColumn("ok", F.coalesce("ok", F.lit(False)))
 
-    order = Window.partitionBy("__id").orderBy("start", "kind", "__k")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    ok, kind = F.col("ok"), F.col("kind")
+    by = Window.partitionBy("__id")
+    # running frames in either order: one that ends with the group would take quadratic time
+    before = by.orderBy("start", "kind", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    after = by.orderBy(F.desc("start"), F.desc("kind"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def left(which: Column) -> Column:
+        return F.max(F.when(which, F.col("end"))).over(before)
 
-    def meets(which: Column, margin: int) -> Column:
-        """Whether a part for which `which` holds comes within margin; 1 - margin is the least overlap."""
-        left = F.max(F.when(which, F.col("end"))).over(before)
-        right = F.min(F.when(which, F.col("start"))).over(after)
-        return F.coalesce(left >= F.col("start") - margin, F.lit(False)) | F.coalesce(right <= F.col("end") + margin, F.lit(False))
+    def right(which: Column) -> Column:
+        return F.min(F.when(which, F.col("start"))).over(after)
 
-    ok, kind = F.col("ok"), F.col("kind")
-    for weak in (3, 4, 5):
-        rows = rows.withColumn(f"__hit{weak}", meets(ok & (kind < weak), -1))
-    hit = F.when(kind == 3, F.col("__hit3")).when(kind == 4, F.col("__hit4")).when(kind == 5, F.col("__hit5")).otherwise(False)
+    def meets(x: str, margin: int) -> Column:
+        """Whether a part comes within margin; 1 - margin is the least overlap."""
+        return F.coalesce(F.col(f"__l{x}") >= F.col("start") - margin, F.lit(False)) | F.coalesce(F.col(f"__r{x}") <= F.col("end") + margin, F.lit(False))
+
+    stronger = {str(weak): ok & (kind < weak) for weak in (3, 4, 5)}
+    rows = rows.withColumns({f"__l{x}": left(which) for x, which in stronger.items()}).withColumns({f"__r{x}": right(which) for x, which in stronger.items()})
+    hit = F.when(kind == 3, meets("3", -1)).when(kind == 4, meets("4", -1)).when(kind == 5, meets("5", -1)).otherwise(False)
     rows = rows.withColumn("ok", ok & ~hit)
-    rows = rows.withColumn("__s", meets(ok & kind.isin(0, 2, 5), reach)).withColumn("__i", meets(ok & kind.isin(1, 3, 4), reach))
+    partner = {"s": ok & kind.isin(0, 2, 5), "i": ok & kind.isin(1, 3, 4)}
+    rows = rows.withColumns({f"__r{x}": right(which) for x, which in partner.items()}).withColumns({f"__l{x}": left(which) for x, which in partner.items()})
+    rows = rows.withColumns({f"__{x}": meets(x, reach) for x in partner})
     told = ok & ((kind < BASE) | F.when(kind == 5, F.col("__i")).otherwise(F.col("__s")))
+    rows = rows.withColumn("__told", told).withColumn("before", F.coalesce(F.max(F.when(F.col("__told"), F.col("end"))).over(before), F.lit(0)))
     found = rows.groupBy("__id").agg(
         F.first("__row", ignorenulls=True).alias("__row"),
-        F.sort_array(F.collect_list(F.when(told, F.struct("start", "kind", "end")))).cast(SPANS).alias("_spans"))
-    return clean.unionByName(found.select("__row", "_spans")).select("__row.*", "_spans")
+        F.sort_array(F.collect_list(F.when(F.col("__told"), F.struct("start", "kind", "end", "before")))).cast(SPANS).alias("_spans"))
+    return clean.unionByName(found.select("__row", "_spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -108,18 +127,24 @@ def spans_text(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = 200) -> DataFrame:
     """docs with every reported span's text replaced by mark; overlapping spans become one."""
-    rows = scan_secrets(docs, reach)
-    # merge spans that overlap: a fold over the sorted spans, last interval at the end
-    merged = F.aggregate(
-        F.col("_spans"), F.array().cast("array<struct<a:long,b:long>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] > s["start"]),
-                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], s["end"]).alias("b")))))
-        .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("a"), s["end"].alias("b"))))))
-    text = F.col("text")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__m", lambda m: m["b"]))
-    ends = F.concat(F.transform("__m", lambda m: m["a"]), F.array(F.length(text).cast("long")))
-    kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), mark)
-    return rows.withColumn("__m", merged).withColumn("text", F.when(F.size("_spans") > 0, kept).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _scanned(docs, reach)
+    text = F.col("__row.text")
+    # a span that starts before all earlier ones have ended belongs to the mark before it
+    heads = F.filter("_spans", lambda s: s["start"] >= s["before"])
+    last = F.array_max(F.transform("_spans", lambda s: s["end"]))
+    gaps = F.concat(F.transform(heads, lambda s: F.struct(s["before"].alias("a"), s["start"].alias("b"))), F.array(F.struct(last.alias("a"), F.length(text).cast("long").alias("b"))))
+    # substrings count from the start, so they are taken from short pieces
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+
+    def kept(gap: Column) -> Column:
+        a, b = gap["a"], gap["b"]
+        first = F.floor(a / _CUT)
+        whole = F.array_join(F.slice("__cut", (first + 1).cast("int"), (F.floor((b - 1) / _CUT) - first + 1).cast("int")), "")
+        return F.when(b > a, F.substring(whole, (a - first * _CUT + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    rows = rows.withColumn("__cut", F.when(F.size("_spans") > 0, cut))
+    clean = F.when(F.size("_spans") > 0, F.array_join(F.transform(gaps, kept), mark)).otherwise(text)
+    return rows.select(*[clean.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def spans_digest(docs: DataFrame) -> DataFrame:
