@@ -17,7 +17,8 @@ about a millionth of the source, and only that bin's rows are ordered.
 
 Edge cases: a null or wordless text has size 0 and takes 0 words; a null source is a source, ranked
 last; rows that are equal in id and text share one rank, so all or none of them are sampled; an
-empty table gives an empty one; clashing column names are kept (results are in one struct `_mix`).
+empty table gives an empty one; columns are kept whatever their names (a row travels as one struct,
+results are in one struct `_mix`); a very long text is counted like any other, in one pass.
 """
 from __future__ import annotations
 
@@ -32,12 +33,13 @@ from .common import WORD, materialise
 BINS, MOST_BROADCAST = 1024, 10_000
 
 
-def facts(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """docs with its size in words and the hash that ranks it."""
-    return docs.withColumns({
-        "__size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"),
-        "__h": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
-    })
+def facts(docs: DataFrame, seed: int = 0, keep: Sequence[str] | None = None) -> DataFrame:
+    """__row, a struct of the columns to keep (all by default), where no name can clash; the source,
+    the size in words and the hash that ranks the document."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    return docs.select(
+        row.alias("__row"), "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("__h"))
 
 
 def targets(sizes: DataFrame, share: float, weights: Sequence[float], most_copies: float) -> DataFrame:
@@ -77,13 +79,15 @@ def _with(rows: DataFrame, small: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("__source")))
 
 
-def plan_mix(docs: DataFrame, *, share: float = 1.5, weights: Sequence[float] = (5, 2, 1), most_copies: float = 2, seed: int = 0, light: DataFrame | None = None) -> DataFrame:
-    """docs with the struct `_mix`: size, source_size, target, copies, taken.
+def plan_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with the struct `_mix`: size, source_size, target, copies, taken (a column of that name is
+    replaced).  Options as of planned."""
+    return planned(facts(docs.drop("_mix"), options.get("seed", 0)), **options).select("__row.*", "_mix")
 
-    light: facts(docs) if they were written already."""
-    docs = docs.drop("_mix")
-    rows = facts(docs, seed) if light is None else light
-    sizes = materialise(rows.select("source", "__size", "__h"), "mix-sizes") if light is None else light
+
+def planned(rows: DataFrame, *, share: float = 1.5, weights: Sequence[float] = (5, 2, 1), most_copies: float = 2, seed: int = 0, written: bool = False) -> DataFrame:
+    """__row and `_mix` from facts of the same seed; written: they are a table, cheap to read again."""
+    sizes = rows if written else materialise(rows.select("source", "__size", "__h"), "mix-sizes")
     per = materialise(targets(sizes, share, weights, most_copies), "mix-targets")
     few = per.count() <= MOST_BROADCAST
     ranked = _with(sizes.filter("__size > 0").select("source", "__size", "__h"), per.filter("__budget > 0"), few).withColumn("__z", rank_key())
@@ -121,12 +125,11 @@ def plan_mix(docs: DataFrame, *, share: float = 1.5, weights: Sequence[float] =
     taken = F.coalesce((F.col("__budget") > 0) & (F.col("__size") > 0) & (F.col("__cut").isNull() | (key < F.col("__cut")) | F.coalesce(key == F.struct(F.col("__fill.__z").alias("__z"), F.col("__fill.__h").alias("__h")), F.lit(False))), F.lit(False))
     out = _with(rows, per, few).withColumn("__z", rank_key()).withColumn("__copies", F.col("__base") + taken.cast("long"))
     made = F.struct(F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"))
-    names = docs.columns if light is None else [c for c in light.columns if not c.startswith("__")]
-    return out.withColumn("_mix", made).select(*[F.col(f"`{c}`") for c in names], "_mix")
+    return out.select("__row", made.alias("_mix"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as its copies say, with the columns of docs."""
-    rows = plan_mix(docs, **options)
+    rows = planned(facts(docs, options.get("seed", 0)), **options)
     copies = F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int"))
-    return rows.filter("_mix.copies > 0").withColumn("__copy", F.explode(copies)).drop("__copy", "_mix")
+    return rows.filter("_mix.copies > 0").select("__row", F.explode(copies)).select("__row.*")

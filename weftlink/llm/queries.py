@@ -17,10 +17,9 @@ def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    light = mixing.facts(_documents(spark, sf_dir)).select("doc_id", "source", "__size", "__h")
-    light = common.materialise(light, "mix-facts")
-    rows = mixing.plan_mix(light, light=light)
-    return rows.select("doc_id", "source", "_mix.size", "_mix.source_size", "_mix.target", "_mix.copies", "_mix.taken")
+    facts = common.materialise(mixing.facts(_documents(spark, sf_dir), keep=("doc_id", "source")), "mix-facts")
+    rows = mixing.planned(facts, written=True)
+    return rows.select("__row.doc_id", "__row.source", "_mix.size", "_mix.source_size", "_mix.target", "_mix.copies", "_mix.taken")
 
 
 def op3_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
