@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink.llm import bpe, langid, mixing, near_dedup, secret_scan
-from weftlink.llm.common import materialise
+from weftlink.llm.common import fresh, materialise
 
 #: A document whose bytes the network gives less for its best language than this is of none.
 LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predicted(docs, langid.fit(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    label, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = langid.predicted(docs, langid.fit(docs), (label, score))
+    return found.filter((F.col(label) != "und") & (F.col(score) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
