@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import LEGAL_SUFFIXES, REGIONS, ROADS
+from .tables import LEGAL_SUFFIXES, NO_ADDRESS, REGIONS, ROADS, SHORT_LEGAL, SHORT_ROADS
 
 W = r"[\p{L}\p{N}_]"
 START, END = rf"(?<!{W})", rf"(?!{W})"
@@ -195,3 +195,44 @@ def acronym(tokens: Column) -> Column:
 def parse_id_list(c: Column) -> Column:
     """A comma list of ids as an array, trimmed, blanks dropped."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: strip(x)), lambda x: x != "")
+
+
+# --- the short forms -------------------------------------------------------------------------
+def _short_tokens(c: Column) -> Column:
+    return split_tokens(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w\s]", " "), SPACE, " "))
+
+
+def short_name(c: Column) -> Column:
+    """Lower case, no punctuation, and no legal terms wherever they stand."""
+    return F.array_join(F.filter(_short_tokens(c), lambda t: ~t.isin(*SHORT_LEGAL)), " ")
+
+
+def short_address(c: Column) -> Column:
+    """Lower case, no punctuation, five road words expanded."""
+    roads = _map(SHORT_ROADS)
+    return F.array_join(F.transform(_short_tokens(c), lambda t: F.coalesce(F.try_element_at(roads, t), t)), " ")
+
+
+def short_pin(c: Column) -> Column:
+    """The first standalone number of 5 or 6 digits, or ''."""
+    return F.regexp_extract(F.coalesce(c, F.lit("")), START + r"\p{Nd}{5,6}" + END, 0)
+
+
+def serialize_plain(name: Column, address: Column) -> Column:
+    """name | address, or the name alone where the address is a word for none."""
+    name, address = strip(F.coalesce(name, F.lit(""))), strip(F.coalesce(address, F.lit("")))
+    return F.when(F.lower(address).isin(*NO_ADDRESS), name).otherwise(F.concat(name, F.lit(" | "), address))
+
+
+def source_prefix(c: Column) -> Column:
+    """S2 or S3 of a candidate's id, else ''."""
+    return F.regexp_extract(c, "^(S[23])-", 1)
+
+
+def bytes_text(c: Column) -> Column:
+    """A size in bytes with its unit, to two digits."""
+    value, out = c.cast("double"), None
+    for k, unit in reversed(list(enumerate(("B", "KiB", "MiB", "GiB")))):
+        text = F.concat(F.format_string("%.2f", F.bround(value / 1024 ** k, 2)), F.lit(f" {unit}"))
+        out = text if out is None else F.when(value < 1024 ** (k + 1), text).otherwise(out)
+    return out

@@ -12,15 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one of this machine, which only a
+    local master (as in tests) may use."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark._weft_graph = getattr(spark, "_weft_graph", None) or tempfile.mkdtemp(prefix="weft-graph-")
+    return spark._weft_graph
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the folder in spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
+    """df, written once to the shared folder; its files go when the driver's JVM ends."""
     spark: SparkSession = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = getattr(spark, "_weft_graph", None) or tempfile.mkdtemp(prefix="weft-graph-")
-        spark._weft_graph = folder
-    path = f"{folder}/weft-graph/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/weft-graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
     return spark.read.schema(df.schema).parquet(path)
 
 

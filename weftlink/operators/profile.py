@@ -1,6 +1,8 @@
 """Profiles of sources and labels."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,35 @@ def label_stats(truth: DataFrame, spine: DataFrame) -> DataFrame:
     return n.agg(F.count("*").alias("entities"), F.sum((F.col("m") == 0).cast("long")).alias("singletons"), F.sum("m").alias("links"), F.max("m").alias("most"), F.sum("m2").alias("links_s2"))
 
 
+def label_shares(truth: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Of the labels against the records: mean matches of all entities and of those with any, the share of
+    entities without, the shares of both sources among the matches, and ids that no record has; one row.
+    left, right: entity_id."""
+    n = left.select(F.col("entity_id").alias("s1_id")).distinct().join(truth.groupBy("s1_id").agg(F.count("*").alias("m")), "s1_id", "left").na.fill(0)
+    per = n.agg(F.avg("m").alias("mean_all"), F.avg(F.when(F.col("m") > 0, F.col("m"))).alias("mean_matched"), F.avg((F.col("m") == 0).cast("double")).alias("singleton_share"))
+    known = right.select(F.col("entity_id").alias("cand_id"), F.lit(1).alias("known")).distinct()
+    links = truth.join(known, "cand_id", "left").agg(*[F.avg(F.col("cand_id").startswith(f"{s}-").cast("double")).alias(f"share_{s.lower()}") for s in ("S2", "S3")], F.sum(F.col("known").isNull().cast("long")).alias("unknown_candidates"))
+    lost = truth.select("s1_id").distinct().join(n.select("s1_id"), "s1_id", "left_anti").agg(F.count("*").alias("unknown_entities"))
+    return per.crossJoin(links).crossJoin(lost)  # one row each
+
+
+def frequent_values(rows: DataFrame, column: str, least: int = 50) -> DataFrame:
+    """Values of at least so many rows, as countries that are worth leaving out."""
+    return value_counts(rows, column).filter(F.col("n") >= least)
+
+
+def class_balance(pairs: DataFrame) -> DataFrame:
+    """positives, negatives, and negatives for each positive (null without any); one row."""
+    p, n = F.sum((F.col("is_match") == 1).cast("long")), F.sum((F.col("is_match") == 0).cast("long"))
+    return pairs.agg(p.alias("positives"), n.alias("negatives"), F.when(p > 0, n / p).alias("ratio"))
+
+
+def overview(sources: dict[str, DataFrame]) -> DataFrame:
+    """source, country and rows of each; sources: records by name."""
+    rows = [r.groupBy("country").agg(F.count("*").alias("n")).select(F.lit(k).alias("source"), "country", "n") for k, r in sources.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def shared_candidates(truth: DataFrame) -> DataFrame:
     """Candidates of more than one entity."""
     return truth.groupBy("cand_id").agg(F.countDistinct("s1_id").alias("n")).filter("n > 1")

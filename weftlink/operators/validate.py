@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import parse_id_list
+from ..sources.records import exists
 
 
 def _rule(rows: DataFrame, name: str, example) -> DataFrame:
@@ -37,6 +38,51 @@ def validate_submission(table: DataFrame, spine: DataFrame, corpus: DataFrame |
     return reduce(DataFrame.unionByName, rules)
 
 
+def validate_file(spark: SparkSession, path: str, spine: DataFrame, corpus: DataFrame | None = None, column: str = "matched_entity_ids") -> DataFrame:
+    """(rule, n, examples) for each broken rule of an id-list file: that it exists, isn't empty, has a tab
+    header with just these columns and rows of two fields; then validate_submission of its rows."""
+    def one(rule: str, example: str) -> DataFrame:
+        return spark.createDataFrame([(rule, 1, example)], "rule string, n long, examples string")
+
+    if not exists(spark, path):
+        return one("missing file", path)
+    lines = spark.read.text(path).withColumn("cells", F.split("value", "\t", -1))
+    head = spark.read.option("sep", "\t").option("quote", "").csv(path).limit(1).collect()
+    if not head:
+        return one("empty file", path)
+    names = [str(c or "").strip().lower() for c in head[0]]
+    if names != ["source1_entity_id", column]:
+        return one("wrong header", ",".join(names))
+    body = lines.filter(F.lower(F.trim(F.col("cells")[0])) != names[0]).filter(F.trim("value") != "")
+    malformed = _rule(body.filter(F.size("cells") != 2), "malformed row", F.substring("value", 1, 80))
+    table = body.filter(F.size("cells") == 2).select(F.trim(F.col("cells")[0]).alias("source1_entity_id"), F.col("cells")[1].alias(column))
+    return malformed.unionByName(validate_submission(table, spine, corpus, column))
+
+
+def file_is_valid(spark: SparkSession, path: str, spine: DataFrame, corpus: DataFrame | None = None, column: str = "matched_entity_ids") -> bool:
+    return not validate_file(spark, path, spine, corpus, column).limit(1).count()
+
+
+def integrity_report(matching: DataFrame, candidates: DataFrame, spine: DataFrame) -> DataFrame:
+    """The checks of a pair of submission tables, each with the number of offences: rows that lack or exceed the
+    spine, repeated entities, repeated ids in a list, one candidate under two entities, and matches that are no candidates."""
+    s1 = F.col("source1_entity_id")
+
+    def items(t: DataFrame, column: str) -> DataFrame:
+        return t.select(s1.alias("s1_id"), F.explode(parse_id_list(F.col(column))).alias("cand_id"))
+
+    m, c = items(matching, "matched_entity_ids"), items(candidates, "candidate_entity_ids")
+    ids = matching.select(s1.alias("s1_id"))
+    lists = matching.select(parse_id_list(F.col("matched_entity_ids")).alias("x"))
+    checks = {
+        "missing entities": spine.select("s1_id").join(ids, "s1_id", "left_anti"), "extra entities": ids.distinct().join(spine.select("s1_id"), "s1_id", "left_anti"),
+        "repeated entities": ids.groupBy("s1_id").agg(F.count("*").alias("n")).filter("n > 1"), "repeated ids in a list": lists.filter(F.size("x") > F.size(F.array_distinct("x"))),
+        "shared candidates": m.groupBy("cand_id").agg(F.countDistinct("s1_id").alias("n")).filter("n > 1"), "wrong prefix": m.filter(~F.col("cand_id").rlike("^S[23]-")),
+        "uncovered matches": uncovered_matches(m, c),
+    }
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("check"), F.count("*").alias("n")) for name, rows in checks.items()])
+
+
 def uncovered_matches(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """Matches that aren't candidates: a warning."""
     return matches.select("s1_id", "cand_id").join(candidates.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")

@@ -109,7 +109,7 @@ def equality_inventory(spark, sf):
 # --- normalisation ---------------------------------------------------------------------------
 @query(r"""SELECT id, trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '[.,;:!?()\[\]{}''"/\\|_#@*+=~`^-]', ' ', 'g'), '\s+', ' ', 'g')) AS name_clean FROM (""" + V.PARTS + ") p")
 def name_normalize(spark, sf):
-    return V.view(spark, sf, V.PARTS).select("id", N.basic_clean(F.col("name"), unicode=False).alias("name_clean"))
+    return V.view(spark, sf, V.PARTS).select("id", N.basic_clean(F.col("name")).alias("name_clean"))
 
 
 @query()
@@ -126,7 +126,7 @@ def pin_extract(spark, sf):
 
 @query(f"SELECT id, concat_ws(' | ', concat('name: ', name), concat('address: ', brand)) AS text FROM ({V.PARTS}) p")
 def serialize_records(spark, sf):
-    return V.view(spark, sf, V.PARTS).select("id", N.serialize_record(F.col("name"), F.col("brand"), prefix_fields=True, unicode=False).alias("text"))
+    return V.view(spark, sf, V.PARTS).select("id", N.serialize_record(F.col("name"), F.col("brand"), prefix_fields=True).alias("text"))
 
 
 # --- blocking --------------------------------------------------------------------------------
@@ -211,12 +211,6 @@ def token_ratios(spark, sf):
     return _round(n.select("a", "b", S.token_sort_ratio(a, b).alias("token_sort"), S.token_set_ratio(a, b).alias("token_set")), "token_sort", "token_set")
 
 
-@query()
-def pair_features(spark, sf):
-    r = N.with_normal_forms(V.view(spark, sf, V.RECORDS))
-    return features.pair_features(features.with_records(V.view(spark, sf, V.TRUTH), r, r), udfs=False)
-
-
 _GRAMS = "SELECT DISTINCT p_name AS name FROM part"
 _TFIDF = f"""WITH d AS ({_GRAMS}), w AS (SELECT name, unnest(string_split(lower(name), ' ')) AS word FROM d), g AS (SELECT name, substr(concat(' ', word, ' '), CAST(i AS INT), 3) AS gram FROM (SELECT name, word, unnest(range(1, greatest(length(word), 1) + 1)) AS i FROM w WHERE word <> '') x),
   tf AS (SELECT name, gram, count(*) AS tf FROM g GROUP BY name, gram), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 2),
@@ -236,24 +230,24 @@ def tfidf_topk(spark, sf):
 
 def _vectors(spark, sf):
     e = V.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("string").alias("label"), "vec_id")
-    return e.filter("vec_id % 10 = 0").drop("vec_id"), e.filter("vec_id % 10 <> 0").drop("vec_id")
+    return e.filter("vec_id % 20 = 0").drop("vec_id"), e.drop("vec_id")
 
 
 _DOT = "round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6)"
 
 
 def _vector_sql(condition: str) -> str:
-    return f"SELECT s1_id, cand_id, score, CAST(rank AS INT) AS rank FROM (SELECT CAST(q.vec_id AS STRING) AS s1_id, CAST(c.vec_id AS STRING) AS cand_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, CAST(c.vec_id AS STRING)) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0{condition}) x WHERE rank <= 20"
+    return f"SELECT s1_id, cand_id, score, CAST(rank AS INT) AS rank FROM (SELECT CAST(q.vec_id AS STRING) AS s1_id, CAST(c.vec_id AS STRING) AS cand_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, CAST(c.vec_id AS STRING)) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id{condition}) x WHERE rank <= 20"
 
 
 @query(_vector_sql(""))
 def vector_topk(spark, sf):
-    return vectors.top_k(*_vectors(spark, sf), 20)
+    return vectors.top_k(*_vectors(spark, sf), 20, itself=False)
 
 
 @query(_vector_sql(" AND q.label = c.label"))
 def vector_topk_partitioned(spark, sf):
-    return vectors.top_k(*_vectors(spark, sf), 20, partition="label")
+    return vectors.top_k(*_vectors(spark, sf), 20, partition="label", itself=False)
 
 
 # --- decisions -------------------------------------------------------------------------------
@@ -317,16 +311,26 @@ _GRID = ", ".join(f"({k}, CAST({t} AS DOUBLE))" for k, t in enumerate(metrics.TH
 def _sweep_sql() -> str:
     return f"""WITH g(k, threshold) AS (VALUES {_GRID}), w AS ({WON}), l AS ({V.LINKS}), c AS ({V.CUSTOMERS}), n AS (SELECT c.s1_id, count(l.cand_id) AS n_true FROM c LEFT JOIN l ON l.s1_id = c.s1_id GROUP BY c.s1_id),
   e AS (SELECT g.k, g.threshold, n.s1_id, max(n.n_true) AS n_true, count(w.cand_id) AS n_pred, count(l.cand_id) AS tp FROM g CROSS JOIN n LEFT JOIN w ON w.s1_id = n.s1_id AND w.score >= g.threshold LEFT JOIN l ON l.s1_id = w.s1_id AND l.cand_id = w.cand_id GROUP BY g.k, g.threshold, n.s1_id)
-  SELECT k, threshold, round(avg({F05}), 6) AS macro_f05, round(sum(tp) / CAST(greatest(sum(n_pred), 1) AS DOUBLE), 6) AS micro_precision, round(sum(tp) / CAST(sum(n_true) AS DOUBLE), 6) AS micro_recall, CAST(sum(n_pred) AS BIGINT) AS predicted_pairs FROM e GROUP BY k, threshold"""
+  SELECT k, threshold, round(avg({F05}), 6) AS macro_f05, round(sum(tp) / CAST(greatest(sum(n_pred), 1) AS DOUBLE), 6) AS micro_precision, round(sum(tp) / CAST(sum(n_true) AS DOUBLE), 6) AS micro_recall, round(coalesce(avg(CASE WHEN n_true = 0 THEN CAST(n_pred = 0 AS INT) END), 1.0), 6) AS singleton_accuracy, CAST(sum(n_pred) AS BIGINT) AS predicted_pairs FROM e GROUP BY k, threshold"""
 
 
 @query(_sweep_sql())
 def threshold_sweep(spark, sf):
     s = metrics.sweep(V.view(spark, sf, V.SCORED), V.view(spark, sf, V.LINKS), V.view(spark, sf, V.CUSTOMERS), metrics.THRESHOLDS)
-    return _round(s, "macro_f05", "micro_precision", "micro_recall").drop("min_top_score", "singleton_accuracy")
+    return _round(s, "macro_f05", "micro_precision", "micro_recall", "singleton_accuracy").drop("min_top_score")
 
 
-@query()
+def _trigger_sql() -> str:
+    grid = ", ".join(f"({k}, CAST({t} AS DOUBLE), CAST({min(0.99, round(t + o, 10)) if o else 'NULL'} AS DOUBLE))" for k, (t, o) in enumerate((t, o) for t in metrics.THRESHOLDS for o in metrics.OFFSETS))
+    return f"""WITH g(k, threshold, min_top_score) AS (VALUES {grid}), s AS (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM ({V.SCORED}) x), l AS ({V.LINKS}), c AS ({V.CUSTOMERS}), n AS (SELECT c.s1_id, count(l.cand_id) AS n_true FROM c LEFT JOIN l ON l.s1_id = c.s1_id GROUP BY c.s1_id),
+  a AS (SELECT g.k, g.threshold, s1_id, cand_id, score, row_number() OVER (PARTITION BY g.k, cand_id ORDER BY score DESC, s1_id) AS r FROM g JOIN s ON (min_top_score IS NULL OR top >= min_top_score) AND score >= 0.05),
+  p AS (SELECT a.k, a.s1_id, count(*) AS n_pred, count(l.cand_id) AS tp FROM a LEFT JOIN l ON l.s1_id = a.s1_id AND l.cand_id = a.cand_id WHERE r = 1 AND score >= threshold GROUP BY a.k, a.s1_id),
+  e AS (SELECT g.k, g.threshold, g.min_top_score, n.n_true, coalesce(p.n_pred, 0) AS n_pred, coalesce(p.tp, 0) AS tp FROM g CROSS JOIN n LEFT JOIN p ON p.k = g.k AND p.s1_id = n.s1_id)
+  SELECT k, threshold, min_top_score, round(avg({F05}), 6) AS macro_f05, round(sum(tp) / CAST(greatest(sum(n_pred), 1) AS DOUBLE), 6) AS micro_precision, round(sum(tp) / CAST(sum(n_true) AS DOUBLE), 6) AS micro_recall,
+  round(coalesce(avg(CASE WHEN n_true = 0 THEN CAST(n_pred = 0 AS INT) END), 1.0), 6) AS singleton_accuracy, CAST(sum(n_pred) AS BIGINT) AS predicted_pairs FROM e GROUP BY k, threshold, min_top_score ORDER BY macro_f05 DESC, k LIMIT 1"""
+
+
+@query(_trigger_sql())
 def trigger_sweep(spark, sf):
     s = metrics.sweep(V.view(spark, sf, V.SCORED), V.view(spark, sf, V.LINKS), V.view(spark, sf, V.CUSTOMERS), metrics.THRESHOLDS, metrics.OFFSETS)
     return metrics.best(_round(s, "macro_f05", "micro_precision", "micro_recall", "singleton_accuracy"))
@@ -371,12 +375,18 @@ def fp_fn_topk(spark, sf):
     return metrics.false_pairs(decision.predictions(s, 0.95), s, V.view(spark, sf, V.LINKS))
 
 
-@query()
+_RANK_FEATURES = f"""WITH s AS (SELECT *, score * 0.9 AS bi FROM ({V.SCORED}) x), r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY bi DESC, cand_id) AS rk, max(score) OVER (PARTITION BY s1_id) AS top, max(bi) OVER (PARTITION BY s1_id) AS top_bi FROM s)
+  SELECT r.s1_id, r.cand_id, round(score, 9) AS score, round(score, 9) AS cross_encoder_score, round(bi, 9) AS bi_encoder_score, CAST(rk AS INT) AS retrieval_rank, round(1 / CAST(rk AS DOUBLE), 9) AS retrieval_rr, round(score - top, 9) AS score_margin,
+  round(bi - top_bi, 9) AS bi_encoder_margin, round(score / top, 9) AS score_ratio, round(bi / top_bi, 9) AS bi_encoder_ratio, round(score / log2(1 + rk), 9) AS rank_discounted_score, CASE WHEN l.cand_id IS NULL THEN 0 ELSE 1 END AS is_match
+  FROM r LEFT JOIN ({V.LINKS}) l ON l.s1_id = r.s1_id AND l.cand_id = r.cand_id"""
+
+
+@query(_RANK_FEATURES)
 def rank_features(spark, sf):
     s = V.view(spark, sf, V.SCORED)
     bi = decision.ranked(s.select("s1_id", "cand_id", (F.col("score") * 0.9).alias("score"))).withColumnRenamed("score", "bi_score")
     x = decision.rank_features(s, bi, V.view(spark, sf, V.LINKS))
-    return _round(x, *[c for c, t in x.dtypes if t == "double"])
+    return _round(x, *[c for c, t in x.dtypes if t == "double"], digits=9)
 
 
 @query(f"SELECT count(*) FILTER (WHERE s1_id IS NULL) AS null_s1_id, count(*) FILTER (WHERE cand_id IS NULL) AS null_cand_id, count(*) FILTER (WHERE score IS NULL) AS null_score, count(*) FILTER (WHERE score < -0.000001 OR score > 1.000001) AS bad_score FROM ({V.SCORED}) s")
@@ -459,12 +469,19 @@ def _texts(spark, sf):
     return left, right
 
 
-@query()
+_TEXTS = """a AS (SELECT concat('S1-', CAST(c_custkey AS STRING)) AS id, concat(c_name, ' | ', c_mktsegment) AS text FROM customer), b AS (SELECT concat('S2-', CAST(s_suppkey AS STRING)) AS id, s_name AS text FROM supplier)"""
+
+
+@query(f"""WITH {_TEXTS}, l AS ({V.LINKS}), n AS (SELECT s1_id, cand_id, rank FROM (SELECT r.*, row_number() OVER (PARTITION BY r.s1_id ORDER BY rank, r.cand_id) AS k FROM ({_RANKED}) r LEFT JOIN l ON l.s1_id = r.s1_id AND l.cand_id = r.cand_id WHERE l.s1_id IS NULL) x WHERE k <= 2),
+  p AS (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY cand_id) AS p FROM l), o AS (SELECT p.s1_id, a.text AS anchor, b.text AS positive, nb.text AS negative, row_number() OVER (PARTITION BY p.s1_id ORDER BY p.p, n.rank) AS k
+  FROM p JOIN a ON a.id = p.s1_id JOIN b ON b.id = p.cand_id LEFT JOIN n ON n.s1_id = p.s1_id LEFT JOIN b nb ON nb.id = n.cand_id WHERE p.p <= 5) SELECT s1_id, anchor, positive, negative FROM o WHERE k <= 8""")
 def triplets(spark, sf):
     return training.triplets(decision.ranked(V.view(spark, sf, V.SCORED)), V.view(spark, sf, V.LINKS), *_texts(spark, sf), negatives=2)
 
 
-@query()
+@query(f"""WITH {_TEXTS}, l AS ({V.LINKS}), p AS (SELECT s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY cand_id) AS p FROM l) x WHERE p <= 5), w AS (SELECT c.s1_id, CASE WHEN count(p.cand_id) > 0 THEN count(p.cand_id) * 4 ELSE 2 END AS wanted FROM ({V.CUSTOMERS}) c LEFT JOIN p ON p.s1_id = c.s1_id GROUP BY c.s1_id),
+  n AS (SELECT x.s1_id, x.cand_id FROM (SELECT r.*, row_number() OVER (PARTITION BY r.s1_id ORDER BY rank, r.cand_id) AS k FROM ({_RANKED}) r LEFT JOIN l ON l.s1_id = r.s1_id AND l.cand_id = r.cand_id WHERE l.s1_id IS NULL) x JOIN w ON w.s1_id = x.s1_id WHERE k <= wanted),
+  u AS (SELECT s1_id, cand_id, CAST(1 AS DOUBLE) AS label FROM p UNION ALL SELECT s1_id, cand_id, CAST(0 AS DOUBLE) FROM n) SELECT u.s1_id, u.cand_id, a.text AS text_a, b.text AS text_b, label FROM u JOIN a ON a.id = u.s1_id JOIN b ON b.id = u.cand_id""")
 def cross_pairs(spark, sf):
     return training.labelled_pairs(decision.ranked(V.view(spark, sf, V.SCORED)), V.view(spark, sf, V.LINKS), *_texts(spark, sf), V.view(spark, sf, V.CUSTOMERS))
 
@@ -474,7 +491,7 @@ def gbt_scores(spark, sf):
     rows = V.view(spark, sf, V.SCORED)
     x = decision.with_labels(decision.ranked(rows).withColumn("gap", 1 - F.col("score")), V.view(spark, sf, V.LINKS))
     columns = ["score", "rank", "gap"]
-    model = models.fit_trees(x, columns, trees=10, depth=3)
+    model = models.fit_trees(x, columns)
     return _round(models.tree_scores(model, x, columns), "score")
 
 
@@ -505,8 +522,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import wider  # noqa: F401  registers its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

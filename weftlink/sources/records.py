@@ -58,14 +58,14 @@ def load_bundle(spark: SparkSession, folder: str, labelled: bool = True) -> dict
     kind = "train" if labelled else "test"
     out = {f"s{k}": load_source(spark, f"{folder}/{kind}_source{k}.tsv", f"S{k}-") for k in (1, 2, 3)}
     if labelled:
-        names = [n for n in ("train_ground_truth.tsv", "train_labels.tsv") if _exists(spark, f"{folder}/{n}")]
+        names = [n for n in ("train_ground_truth.tsv", "train_labels.tsv") if exists(spark, f"{folder}/{n}")]
         if not names:
             raise FileNotFoundError(f"no labels in {folder}")
         out["labels"] = load_labels(spark, f"{folder}/{names[0]}")
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -95,7 +95,7 @@ def load_first_column(spark: SparkSession, path: str) -> DataFrame:
 
 def load_pairs(spark: SparkSession, path: str, labels: DataFrame | None = None) -> DataFrame:
     """Pairs by the file's kind (.parquet, .pq, a folder, .csv, .tsv); label pairs if there is no such file."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         if labels is None:
             raise FileNotFoundError(path)
         return label_pairs(labels)
@@ -117,14 +117,36 @@ def head(rows: DataFrame, n: int, order: str) -> DataFrame:
     return rows.orderBy(order).limit(n)
 
 
-def data_dir(variable: str = "WEFTLINK_DATA", candidates: tuple[str, ...] = ("data", "dataset")) -> Path:
-    """The folder an environment variable names, or the first candidate folder there is."""
+def data_dir(variable: str = "WEFTLINK_DATA", candidates: tuple[str, ...] = ("data", "dataset"), marker: str = "train_source1.tsv") -> Path:
+    """The folder an environment variable names, or the first candidate folder there is, or the folder below
+    this one that holds the marker file."""
     given = os.environ.get(variable)
     for p in ([Path(given)] if given else []) + [Path(c) for c in candidates]:
         if p.is_dir():
             return p
+    found = sorted(Path().rglob(marker))
+    if found:
+        return found[0].parent
     raise FileNotFoundError(f"no data folder: set {variable}")
 
 
+def assert_files(spark: SparkSession, folder: str, names: tuple[str, ...]) -> None:
+    """Raises if any of the files isn't there."""
+    missing = [n for n in names if not exists(spark, f"{folder}/{n}")]
+    if missing:
+        raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
+
+
+def load_features(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
+    """A feature table, checked by the contract unless told otherwise."""
+    from ..operators.validate import validate_features
+
+    rows = spark.read.parquet(path)
+    ok, errors = validate_features(rows) if validate else (True, [])
+    if not ok:
+        raise ValueError("; ".join(errors))
+    return rows
+
+
 def embeddings_frame(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.select(F.col(id_column).cast("string").alias("id"), F.col(vector_column).cast(T.ArrayType(T.FloatType())).alias("v"))

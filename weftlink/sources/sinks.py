@@ -1,7 +1,7 @@
 """Writers: submission tables, candidate tables, scores and features."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MATCHES, CANDIDATES = ("source1_entity_id", "matched_entity_ids"), ("source1_entity_id", "candidate_entity_ids")
@@ -39,9 +39,49 @@ def write_submission(scored: DataFrame, candidates: DataFrame, spine: DataFrame,
     return to
 
 
-def write_scores(scored: DataFrame, path: str) -> None:
-    """The canonical three columns, or all if there are more than scores."""
-    scored.write.mode("overwrite").parquet(path)
+def group_concat(pairs: DataFrame, column: str = "matches") -> DataFrame:
+    """source1_entity_id and its cand_ids (in rank order where there is one, else by id); entities without
+    any have no row."""
+    lists = id_lists(pairs, pairs.select("s1_id").distinct(), [F.col("rank")] if "rank" in pairs.columns else [], column)
+    return lists.filter(F.col(column) != "")
+
+
+def scores_frame(scored: DataFrame, bi: DataFrame | None = None, truth: DataFrame | None = None, full: bool = False) -> DataFrame:
+    """The canonical three columns; with another encoder's scores, labels or full=True, all rank features."""
+    if bi is None and truth is None and not full:
+        return canonical_scores(scored)
+    from ..operators import decision
+
+    if bi is None:
+        bi = decision.ranked(canonical_scores(scored)).withColumnRenamed("score", "bi_score")
+    return decision.rank_features(canonical_scores(scored), bi, truth)
+
+
+def write_scores(scored: DataFrame, path: str, **options) -> None:
+    """scores_frame as Parquet."""
+    scores_frame(scored, **options).write.mode("overwrite").parquet(path)
+
+
+def write_features(rows: DataFrame, path: str) -> dict[str, int]:
+    """A feature table as Parquet, if it keeps the contract; ValueError otherwise.  Counts of pairs and entities."""
+    from ..operators.validate import validate_features
+
+    ok, errors = validate_features(rows)
+    if not ok:
+        raise ValueError("; ".join(errors))
+    rows.write.mode("overwrite").parquet(path)
+    got = rows.agg(F.count("*").alias("pairs"), F.countDistinct("s1_id").alias("entities")).first()
+    return got.asDict()
+
+
+def write_delimited(rows: DataFrame, path: str, sep: str = ",") -> None:
+    """Pairs or reports with a header, as a folder of files."""
+    rows.write.mode("overwrite").option("sep", sep).option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+
+
+def write_embeddings(rows: DataFrame, path: str) -> None:
+    """(id, v) with v as array<float>."""
+    rows.select(F.col("id").cast("string").alias("id"), F.col("v").cast("array<float>").alias("v")).write.mode("overwrite").parquet(path)
 
 
 def canonical_scores(scored: DataFrame) -> DataFrame:
@@ -54,3 +94,21 @@ def write_ids(ids: DataFrame, path: str) -> None:
 
 def convert_to_parquet(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def convert_all(spark: SparkSession, files: dict[str, str], folder: str) -> DataFrame:
+    """Every tab-separated file as Parquet under the folder; name, bytes before and after, and both as text."""
+    from ..functions.normalize import bytes_text
+    from .records import read_delimited
+
+    out = []
+    for name, path in files.items():
+        convert_to_parquet(read_delimited(spark, path), f"{folder}/{name}")
+        out.append((name, stored_bytes(spark, path), stored_bytes(spark, f"{folder}/{name}")))
+    sizes = spark.createDataFrame(out, "name string, before long, after long")
+    return sizes.withColumn("text", F.concat_ws(" -> ", bytes_text(F.col("before")), bytes_text(F.col("after"))))

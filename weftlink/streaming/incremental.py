@@ -9,17 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.decision import assign
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+from ..sources.records import exists
 
 
 def assignments(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
     """The table after a batch, if there is one."""
     to = f"{path}/version={batch}"
-    return spark.read.parquet(to) if batch >= 0 and _exists(spark, to) else None
+    return spark.read.parquet(to) if batch >= 0 and exists(spark, to) else None
 
 
 def assign_stream(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -30,5 +26,7 @@ def assign_stream(scored: DataFrame, path: str, checkpoint: str) -> StreamingQue
         rows = rows.select("s1_id", "cand_id", "score")
         new = assign(rows if old is None else rows.unionByName(old.select("s1_id", "cand_id", "score")))
         new.write.mode("overwrite").parquet(f"{path}/version={batch}")
+        past = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch - 2}")  # no replay needs it
+        past.getFileSystem(spark._jsc.hadoopConfiguration()).delete(past, True)
 
     return scored.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
