@@ -133,17 +133,20 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = 200) -> DataF
     heads = F.filter("_spans", lambda s: s["start"] >= s["before"])
     last = F.array_max(F.transform("_spans", lambda s: s["end"]))
     gaps = F.concat(F.transform(heads, lambda s: F.struct(s["before"].alias("a"), s["start"].alias("b"))), F.array(F.struct(last.alias("a"), F.length(text).cast("long").alias("b"))))
-    # substrings count from the start, so they are taken from short pieces
-    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+    # substrings count from the start, so they are taken from short pieces; the array of pieces is bound to
+    # a variable of an outer lambda, as a column would be inlined and computed anew for each gap
+    pieces = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0)))
 
-    def kept(gap: Column) -> Column:
+    def kept(gap: Column, cut: Column) -> Column:
         a, b = gap["a"], gap["b"]
         first = F.floor(a / _CUT)
-        whole = F.array_join(F.slice("__cut", (first + 1).cast("int"), (F.floor((b - 1) / _CUT) - first + 1).cast("int")), "")
+        whole = F.array_join(F.slice(cut, (first + 1).cast("int"), (F.floor((b - 1) / _CUT) - first + 1).cast("int")), "")
         return F.when(b > a, F.substring(whole, (a - first * _CUT + 1).cast("int"), (b - a).cast("int"))).otherwise("")
 
-    rows = rows.withColumn("__cut", F.when(F.size("_spans") > 0, cut))
-    clean = F.when(F.size("_spans") > 0, F.array_join(F.transform(gaps, kept), mark)).otherwise(text)
+    def joined(cut: Column) -> Column:
+        return F.array_join(F.transform(gaps, lambda gap: kept(gap, cut)), mark)
+
+    clean = F.when(F.size("_spans") > 0, F.transform(pieces, joined)[0]).otherwise(text)
     return rows.select(*[clean.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -151,5 +154,9 @@ def spans_digest(docs: DataFrame) -> DataFrame:
     """The digest columns of op5."""
     rows = scan_secrets(docs.select("doc_id", "text"))
     base = F.filter("_spans", lambda s: s["kind"] < BASE)
-    n = [F.size(F.filter("_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+
+    def count(k: int) -> Column:  # a lambda of two arguments would get a span's place, too
+        return F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    n = [count(k) for k in range(BASE)]
     return rows.select("doc_id", *n, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("_spans")).alias("spans"))
