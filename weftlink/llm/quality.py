@@ -12,14 +12,16 @@ Every step is one aggregation over all rows of all groups: rows are binned by di
 exact whatever the order.  The bins of a group, a bounded number, then give the next estimate; no
 group is ever gathered or sorted.
 
-Groups of under LEAST texts are pooled by language, and pools of under LEAST by one rest pool; a
-rest pool of under LEAST rejects nothing.  Directions in which a group spreads less than FLOOR are widened
-to it, and no others, as most clean texts have no symbols or repeated lines at all and would make
-the scatter singular.
+Every group has an estimate of its own, whatever its size: its centre and scatter are averaged with
+those of all texts, which weigh as much as PRIOR texts of the group.  So a large group stands for
+itself and one text alone is judged by all.  Directions in which a group spreads less than FLOOR are
+widened to it, and no others, as most clean texts have no symbols or repeated lines at all and would
+make the scatter singular.
 
 Edge cases: a null text has no words and fails the base rules; null language and source are values
-of their own; repeated rows count as often as they occur; columns with other names don't matter;
-an empty table gives an empty one.
+of their own; repeated rows count as often as they occur, and equal distances are within or without the
+nearest h together; a very long text is counted whole; columns with other names don't matter; an empty
+table gives an empty one.
 """
 from __future__ import annotations
 
@@ -37,7 +39,7 @@ from .common import U, Words, col, mapped, materialise, mix, pieces, range_hash,
 #: word, capitals a letter.
 VECTOR = ("word_length", "symbols", "dup_lines", "repeats", "capitals")
 FLOOR = (0.06, 0.08, 0.1, 0.1, 0.05)
-LEAST, STEPS, H, QUANTILE = 200, 6, 0.75, 0.999
+PRIOR, STEPS, H, QUANTILE = 100, 6, 0.75, 0.999
 #: Fixed-point scale of the vectors, and bins a unit of ln(1 + squared distance).
 SCALE, BINS = 4096, 64
 MOST_BROADCAST = 10_000
@@ -132,7 +134,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("doc_id", "lang", "source", "text"), run, schema)
 
 
-def _start(bins: pd.DataFrame) -> pd.DataFrame:
+Estimate = tuple[np.ndarray, np.ndarray]
+
+
+def _start(bins: pd.DataFrame, prior: Estimate | None) -> pd.DataFrame:
     """Median and median absolute deviation of each value, from (i, bin, n)."""
     p = len(VECTOR)
     mu, sd = np.zeros(p), np.zeros(p)
@@ -145,11 +150,19 @@ def _start(bins: pd.DataFrame) -> pd.DataFrame:
 
         mu[i] = median(v, n)
         sd[i] = 1.4826 * median(np.abs(v - mu[i]), n)
-    prec = np.diag(1 / np.maximum(sd, FLOOR) ** 2)
-    return pd.DataFrame({"g": [bins["g"].iloc[0]], "mu": [mu.tolist()], "prec": [prec.reshape(-1).tolist()]})
+    return _model(bins, mu, np.diag(np.maximum(sd, FLOOR) ** 2), bins["n"].sum() / p, prior)
+
+
+def _model(bins: pd.DataFrame, mu: np.ndarray, cov: np.ndarray, n: float, prior: Estimate | None) -> pd.DataFrame:
+    """The estimate of n texts, averaged with the prior one."""
+    if prior is not None:
+        own = n / (n + PRIOR)
+        gap = mu - prior[0]
+        mu, cov = own * mu + (1 - own) * prior[0], own * cov + (1 - own) * prior[1] + own * (1 - own) * np.outer(gap, gap)
+    return pd.DataFrame({"g": [bins["g"].iloc[0]], "mu": [mu.tolist()], "cov": [cov.reshape(-1).tolist()], "prec": [np.linalg.inv(cov).reshape(-1).tolist()]})
 
 
-def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
+def _concentrate(bins: pd.DataFrame, prior: Estimate | None) -> pd.DataFrame:
     """The centre and scatter of the nearest h rows; their bins come with sums of values and products."""
     p = len(VECTOR)
     bins = bins.sort_values("bin")
@@ -165,8 +178,7 @@ def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
     # consistency: the scatter of the inner h is too small by a factor that depends on h and p alone
     scale = np.outer(FLOOR, FLOOR)
     wide, axes = np.linalg.eigh(cov * _consistency(H, p) / scale)
-    cov = axes * np.maximum(wide, 1) @ axes.T * scale
-    return pd.DataFrame({"g": [bins["g"].iloc[0]], "mu": [mu.tolist()], "prec": [np.linalg.inv(cov).reshape(-1).tolist()]})
+    return _model(bins, mu, axes * np.maximum(wide, 1) @ axes.T * scale, float(cum[-1]), prior)
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -203,30 +215,30 @@ def _distance():
     return sum(d[i] * d[j] * F.col("prec")[i * p + j] for i in range(p) for j in range(p))
 
 
-def judged(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (null if none was taken) and kept."""
-    p = len(VECTOR)
-    rows = materialise(statistics(docs), "quality-statistics")
-    fit = rows.filter("not base_failed")
-    per = fit.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = per.filter(F.col("n") < LEAST).groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("pool"))
-    per = per.join(small, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    named = F.to_json(F.struct("lang", "source"))
-    pool = F.to_json(F.struct("lang"))
-    per = materialise(per.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.when(F.col("n") >= LEAST, named).when(F.col("pool") >= LEAST, pool).otherwise("rest").alias("g")), "quality-groups")
-    few = per.count() <= MOST_BROADCAST
-    fold = F.broadcast if few else lambda x: x
-    grouped = rows.join(fold(per), F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left").drop("__l", "__s")
-    fit = grouped.filter("not base_failed").select("g", "x")
-    rest = fit.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("g")
+_SHAPE = "g string, mu array<double>, cov array<double>, prec array<double>"
 
+
+def estimates(fit: DataFrame, prior: Estimate | None, steps: int, fold) -> DataFrame:
+    """The estimate of each group from (g, x) rows; fold: how a table of one row a group is joined."""
+    p = len(VECTOR)
     bins = fit.select("g", F.posexplode("x").alias("i", "v")).groupBy("g", "i", F.floor(F.col("v") * BINS / SCALE).alias("bin")).agg(F.count("*").alias("n"))
-    shape = "g string, mu array<double>, prec array<double>"
-    model = materialise(bins.join(rest, "g").groupBy("g").applyInPandas(_start, shape), "quality-mcd")
+    model = materialise(bins.groupBy("g").applyInPandas(lambda b: _start(b, prior), _SHAPE), "quality-mcd")
     x = [F.col("x")[i] for i in range(p)]
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(p)] + [F.sum((x[i] * x[j]).cast("decimal(38,0)")).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
     for _ in range(steps):
         near = fit.join(fold(model), "g").withColumn("bin", F.floor(F.log1p(_distance()) * BINS))
-        model = materialise(near.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums).groupBy("g").applyInPandas(_concentrate, shape), "quality-mcd")
-    out = grouped.join(fold(model), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+        model = materialise(near.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums).groupBy("g").applyInPandas(lambda b: _concentrate(b, prior), _SHAPE), "quality-mcd")
+    return model
+
+
+def judged(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
+    """doc_id, the counts, base_failed, distance (null if none was taken) and kept."""
+    p = len(VECTOR)
+    rows = materialise(statistics(docs).withColumn("g", F.to_json(F.struct("lang", "source"))), "quality-statistics")
+    fit = rows.filter("not base_failed").select("g", "x")
+    all_ = estimates(fit.withColumn("g", F.lit("")), None, steps, F.broadcast).first()  # one row
+    prior = (np.array(all_["mu"]), np.array(all_["cov"]).reshape(p, p)) if all_ else None
+    few = fit.select("g").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    model = estimates(fit, prior, steps, F.broadcast if few else lambda x: x)
+    out = rows.join(F.broadcast(model) if few else model, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.select("doc_id", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
