@@ -17,7 +17,8 @@ row of a range also to the task before, so that neighbours always meet.
 
 Edge cases: a null text is empty; a text without words has an empty fingerprint, and two empty ones
 are alike (1.0), an empty and another are not (0.0); rows of one id follow each other by their text;
-a null id comes first; a single document is its own successor; columns with other names don't
+a null id comes first, and rows of one id are one range; a very long text is taken whole; a single
+document is its own successor; columns with other names don't
 matter; an empty table gives an empty one.
 """
 from __future__ import annotations
@@ -39,8 +40,8 @@ ANCHORS = """a an the and or of to in on at by for from with is are was be that
 der die das den dem des ein eine und oder zu mit von für auf ist im in sich nicht als auch es an werden aus er sie
 le la les un une des du de et ou à en dans pour par sur est que qui avec au aux il elle pas ce cette plus
 el los las una unos y o del al por con para se es lo su más como pero"""
-#: The range of a row's id is at most so many to a shuffle partition.
-RANGES = 4
+#: Ranges of ids: so many to a shuffle partition, as they are dealt by hash, or more, of about RANGE_BYTES each.
+RANGES, RANGE_BYTES = 16, 1 << 22
 _FIRST = -(1 << 63)
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -156,7 +157,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
 
 def _range_starts(docs: DataFrame) -> np.ndarray:
     """Where ranges of ids begin: the least id of each partition of a range partitioning of the ids alone."""
-    n = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n = max(RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id")).repartitionByRange(n, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
