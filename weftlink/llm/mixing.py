@@ -8,7 +8,8 @@ draws u from a hash of its seed, id and text and is ranked by
     (u / (1 - u)) / (p / (1 - p)),
 
 p being its inclusion probability: the source's fraction f = r - floor(r), its odds tempered by
-length, sqrt(mean size / size) within [1/2, 2].  The sample's size is fixed in words: the ranking
+length, sqrt(mean size / size) within [1/2, 2] (a common factor of all odds, as for probabilities
+that sum to a given number, would change no rank).  The sample's size is fixed in words: the ranking
 is cut where the words run out, and the gap that is left, less than one document, goes to the one
 unsampled document whose size comes nearest, if that comes nearer to the target than none.
 
@@ -46,7 +47,8 @@ def targets(sizes: DataFrame, share: float, weights: Sequence[float], most_copie
     """One row for each source: __source, __total, __target, base copies, f, words to sample, mean size.
 
     Water-filling: sources in order of the level at which they fill up (cap / weight); a source is
-    full if the level that would be left for it and all later ones reaches its own."""
+    full if the level that would be left for it and all later ones reaches its own.  The windows run
+    over one row for each source."""
     by = sizes.groupBy(F.col("source").alias("__source")).agg(F.sum("__size").alias("__total"), F.sum((F.col("__size") > 0).cast("long")).alias("__n"))
     rank = Window.orderBy(F.col("__source").isNull(), F.col("__source"))
     fill = Window.orderBy("__level", F.col("__source").isNull(), F.col("__source"))
