@@ -24,7 +24,8 @@ if the tokens it sees are not those that were dealt.
 
 Edge cases: a null text is empty and has one token, the end; a null id is in training; without any
 training document V = N = 0 and every token has probability 1; repeated rows count as often as they
-occur; columns with other names don't matter; an empty table gives an empty one.
+occur; a very long text is scored whole, by itself; equal texts outside and inside the held-out part
+have equal scores; columns with other names don't matter; an empty table gives an empty one.
 """
 from __future__ import annotations
 
@@ -361,7 +362,7 @@ def _dealt_scores(dealt: DataFrame, history: list[np.ndarray], last: np.ndarray)
         for k, x in by_chunk.items():
             at = np.flatnonzero(x[3])
             ids.append(k)
-            parts.append(np.array([len(at)], np.int64).tobytes() + at.astype(np.uint16).tobytes() + x[0, at].astype(np.float32).tobytes() + x[1, at].astype(np.float32).tobytes() + x[2, at].astype(np.uint32).tobytes() + x[3, at].astype(np.uint32).tobytes())
+            parts.append(np.array([len(at)], np.int64).tobytes() + at.astype(np.uint16).tobytes() + x[0, at].tobytes() + x[1, at].tobytes() + x[2, at].astype(np.uint32).tobytes() + x[3, at].astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], ["chunk", "part"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +372,10 @@ def _dealt_scores(dealt: DataFrame, history: list[np.ndarray], last: np.ndarray)
                 for raw in parts.as_py():
                     n = int(np.frombuffer(raw, np.int64, 1)[0])
                     at = np.frombuffer(raw, np.uint16, n, 8)
-                    for k, kind in enumerate((np.float32, np.float32, np.uint32, np.uint32)):
-                        x[k, at] += np.frombuffer(raw, kind, n, 8 + 2 * n + 4 * n * k)
+                    start = 8 + 2 * n
+                    for k, kind in enumerate((np.float64, np.float64, np.uint32, np.uint32)):
+                        x[k, at] += np.frombuffer(raw, kind, n, start)
+                        start += n * np.dtype(kind).itemsize
                 at = np.flatnonzero(x[3])
                 yield pa.RecordBatch.from_arrays([pa.array(at + chunk), *(pa.array(x[k, at]) for k in range(4))], ["place", "p", "b", "known", "n"])
 
