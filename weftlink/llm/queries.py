@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, langid, mixing, near_dedup, pitman_yor, quality, recompression, secret_scan, spotsigs, toxicity
+from . import bpe, common, contracts, langid, mixing, near_dedup, pitman_yor, quality, recompression, secret_scan, spotsigs, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,12 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.deduplicated(_documents(spark, sf_dir))
 
 
+_OPERATORS = {f.__name__: f for f in (op1_weighted_minhash, op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op6_spotsigs, op7_pitman_yor, op8_bpe, op9_toxicity, op10_recompression)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_minhash, op2_pareto_mix, op3_bigru_language, op4_mcd_quality, op5_linked_secrets, op6_spotsigs, op7_pitman_yor, op8_bpe, op9_toxicity, op10_recompression)}
+    return _OPERATORS | contracts.queries(_OPERATORS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return contracts.oracle_sql()
