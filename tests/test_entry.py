@@ -1,7 +1,7 @@
 import __spark_entry__
 
 
-def test_queries_have_columns(spark):
+def test_queries_are_registered(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 40
 
