@@ -226,12 +226,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     marked = symbols.join(shared, "symbol").groupBy("first", "tid").agg(F.collect_set("symbol").alias("shared"))
     # both keys, so that copies of one text don't meet in one task
     source = rows.filter(F.length("text") >= 2 * WINDOW - 1).select(order.alias("first"), tid, "dg", "text")
-    again = source.join(marked, ["first", "tid"]).dropDuplicates(["first", "tid"])
-    again = materialise(again, "recompression-texts-again")
-    windows = materialise(_windows(again), "recompression-windows")
+
+    def again(lists: DataFrame) -> DataFrame:
+        """The first copy of each text that has a list; read again, as a table of texts would take more room."""
+        return source.join(lists, ["first", "tid"]).dropDuplicates(["first", "tid"])
+
+    windows = materialise(_windows(again(marked)), "recompression-windows")
     least = windows.groupBy("window", "more").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("window", "more", "least")
     places = windows.join(least, ["window", "more"]).filter(F.col("least") < F.col("first")).groupBy("first", "tid").agg(F.collect_set("window").alias("windows"))
-    gone = _removed(again.join(places, ["first", "tid"]))
+    gone = _removed(again(places))
     firsts = texts.select(F.col("dg").alias("tdg"), "first")
     firsts = materialise(firsts.join(gone, F.col("dg") == F.col("tdg"), "left").drop("dg"), "recompression-removed")
     out = told.drop("symbols").join(firsts, F.col("dg") == F.col("tdg"), "left")
