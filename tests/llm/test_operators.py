@@ -546,3 +546,13 @@ def test_contract_queries(spark, corpus, tmp_path):
         want = con.execute(queries.oracle_sql()[name]).df()[list(got.columns)]
         a, b = ([[round(x, 3) if isinstance(x, float) else x for x in r] for r in df.sort_values("doc_id").itertuples(index=False, name=None)] for df in (got, want))
         assert a == b, name
+
+
+def test_links_of_a_large_group_are_few(spark, monkeypatch):
+    """A group of near copies, each with a change of its own, is joined by about a link for each text."""
+    seen, real = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda links: seen.append(links.count()) or real(links))
+    base = [f"w{j}" for j in range(204)]
+    rows = [(d, " ".join(base[:d % 200] + [f"x{d}"] + base[d % 200 + 1:])) for d in range(400)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0} and max(seen) <= 2 * len(rows), seen
