@@ -36,13 +36,22 @@ def leave_one_out(spine: DataFrame, by: str) -> dict[str, DataFrame]:
 
 def sample_negatives(pairs: DataFrame, ratio: float = 3.0, seed: int = 42) -> DataFrame:
     """All positives and ratio times as many negatives (all if there are fewer, or no positives)."""
-    neg = pairs.filter("is_match = 0")
-    counts = pairs.groupBy().agg(F.sum("is_match").alias("p"), F.count("*").alias("n")).first()
-    positives, total = int(counts["p"] or 0), counts["n"]
+    order = draw(seed, "s1_id", "cand_id")
+    place = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
+    counts = pairs.groupBy("is_match", place.alias("place")).agg(F.count("*").alias("n")).collect()  # 2 x 65,536 rows at most
+    positives = sum(r["n"] for r in counts if r["is_match"] == 1)
+    negatives = sorted((r["place"], r["n"]) for r in counts if r["is_match"] == 0)
     wanted = int(positives * ratio)
-    if not positives or total - positives <= wanted:
+    if not positives or sum(n for _, n in negatives) <= wanted:
         return pairs
-    return pairs.filter("is_match = 1").unionByName(neg.orderBy(draw(seed, "s1_id", "cand_id"), "s1_id", "cand_id").limit(wanted))
+    # places are the start of the order: all before the one where the sample ends are in, and that one alone is sorted
+    last, left = 0, wanted
+    for last, n in negatives:
+        if n >= left:
+            break
+        left -= n
+    rest = pairs.filter((F.col("is_match") == 0) & (place == last)).orderBy(order, "s1_id", "cand_id").limit(left)
+    return pairs.filter((F.col("is_match") == 1) | (F.col("is_match") == 0) & (place < last)).unionByName(rest)
 
 
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
