@@ -58,6 +58,18 @@ def class_balance(pairs: DataFrame) -> DataFrame:
     return pairs.agg(p.alias("positives"), n.alias("negatives"), F.when(p > 0, n / p).alias("ratio"))
 
 
+def crossed_balance(left: DataFrame, right: DataFrame, truth: DataFrame) -> DataFrame:
+    """class_balance() of all pairs of equal keys, which are counted by key; left, right: (id, key)."""
+    def counts(rows: DataFrame, n: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.count("*").alias(n))
+
+    pairs = counts(left, "l").join(counts(right, "r"), "key").agg(F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("pairs"))
+    true = truth.select("s1_id", "cand_id").distinct().join(left.select(F.col("id").alias("s1_id"), "key"), "s1_id").join(right.select(F.col("id").alias("cand_id"), "key"), ["cand_id", "key"])
+    p, n = F.col("positives"), F.col("negatives")
+    both = true.agg(F.count("*").alias("positives")).crossJoin(pairs).select("positives", (F.col("pairs") - F.col("positives")).alias("negatives"))  # one row each
+    return both.withColumn("ratio", F.when(p > 0, n / p))
+
+
 def overview(sources: dict[str, DataFrame]) -> DataFrame:
     """source, country and rows of each; sources: records by name."""
     rows = [r.groupBy("country").agg(F.count("*").alias("n")).select(F.lit(k).alias("source"), "country", "n") for k, r in sources.items()]
