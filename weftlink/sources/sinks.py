@@ -28,7 +28,7 @@ def candidate_table(pairs: DataFrame, spine: DataFrame) -> DataFrame:
 
 def write_tsv(rows: DataFrame, path: str, single: bool = True) -> None:
     """Tab-separated with a header; '' stays ''. single: one file, for tables a person hands in."""
-    rows = rows.coalesce(1) if single else rows
+    rows = rows.repartition(1) if single else rows  # lines are brought together; coalesce() would have one task make them
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", "").csv(path)
 
 
