@@ -27,7 +27,7 @@ from .graph import checkpointed
 from .matrix import Pairs, numbers, tiles
 from .models import BINS
 
-#: Pairs that a block of the left is to have, the least and most rows of it, and rows of a batch of results.
+#: Pairs that a block of the left is to have, the least and most rows of it, and pairs of a list of results.
 SHARE, LEAST, MOST, OUT = 1 << 22, 256, 8192, 1 << 16
 
 #: Bits of a score that the first and the second pass leave open.
@@ -374,20 +374,32 @@ def tree_scores(pairs: Pairs, truth: DataFrame, digits: int | None = None, **opt
         p = np.array([float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in p])
     width = n.shape[1]
 
+    # entities of one value share a list of candidates; Spark makes the rows, at most OUT of a list at once
     def block(a: dict, b: dict) -> Iterator[pa.RecordBatch]:
         bins = np.searchsorted(ranks, np.arange(1, len(b["id"]) + 1), "right")
         x, of, alike = np.unique(numbers(a["value"]), return_inverse=True, return_counts=True)
-        own, start, step = np.argsort(of, kind="stable"), np.append(0, np.cumsum(alike)), max(1, OUT // len(bins))
+        own, start = a["id"].take(pa.array(np.argsort(of, kind="stable"))), np.append(0, np.cumsum(alike))
+        step, wide = max(1, OUT // len(bins)), min(OUT, len(bins))
         ids, parts = _ranked_tiles(score, x, b)
         for lo, hi, order, s in parts:
             given = p[_levels(ends, s) * width + bins]
-            for i in range(start[lo], start[hi], step):
-                some = own[i:min(i + step, start[hi])]
-                who, at = np.repeat(some, len(bins)), of[some] - lo
-                yield pa.RecordBatch.from_arrays([a["id"].take(pa.array(who)), ids.take(pa.array(order[at].ravel())), pa.array(given[at].ravel())], ["s1_id", "cand_id", "score"])
+            many = -(-alike[lo:hi] // step)
+            at = np.repeat(np.arange(hi - lo), many)
+            first = start[lo + at] + step * (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many))
+            first = np.append(first, start[hi])
+            for i in range(0, len(at), step):
+                some = at[i:i + step]
+                names = first[i:i + len(some) + 1]
+                names = pa.ListArray.from_arrays(pa.array(names - names[0], pa.int32()), own.slice(names[0], names[-1] - names[0]))
+                for j in range(0, len(bins), wide):
+                    places, chances = order[some, j:j + wide], given[some, j:j + wide]
+                    cut = pa.array(np.arange(len(some) + 1) * places.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(cut, ids.take(pa.array(places.ravel()))), pa.ListArray.from_arrays(cut, pa.array(chances.ravel()))], ["n", "c", "p"])
 
     def rows(c: dict) -> Iterator[pa.RecordBatch]:
         at = _levels(ends, numbers(c["score"])) * width + np.searchsorted(ranks, numbers(c["rank"]), "right")
-        yield pa.RecordBatch.from_arrays([c["s1_id"], c["cand_id"], pa.array(p[at])], ["s1_id", "cand_id", "score"])
+        cut = pa.array(np.arange(len(at) + 1), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut, v) for v in (c["s1_id"], c["cand_id"], pa.array(p[at]))], ["n", "c", "p"])
 
-    return d.mapped(block, rows, schema)
+    out = d.mapped(block, rows, "n array<string>, c array<string>, p array<double>").select("c", "p", F.explode("n").alias("s1_id"))
+    return out.select("s1_id", "p", F.posexplode("c").alias("i", "cand_id")).select("s1_id", "cand_id", F.col("p")[F.col("i")].alias("score"))
